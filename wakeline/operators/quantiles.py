@@ -5,7 +5,7 @@ buffer.  Here a mergeable sketch first brackets each wanted rank; then one pass
 counts the values below the bracket and the distinct values inside it, both
 combined before the shuffle; the rank is found among the few values inside.
 The result is exact and follows the linear rule between neighbouring ranks.
-Groups must be few (cohorts, features, labels): their brackets are broadcast.
+Brackets of a few fixed groups (cohorts, features, labels) are broadcast.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ ACCURACY = 20_000
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
-                      accuracy: int = ACCURACY) -> DataFrame:
+                      accuracy: int = ACCURACY, few_groups: bool = True) -> DataFrame:
     """One row per group: ``n`` and ``q``, the array of percentiles in the order of ``probs``.
 
     Null and NaN values are left out.  A bracket spans 8/accuracy of the group,
     so about that share of the rows is sorted.  Should a sketch ever miss its
-    bracket the job fails rather than return a wrong value.
+    bracket the job fails rather than return a wrong value.  Any bracket that
+    holds the rank gives the same answer, so recomputed tasks agree.  With
+    ``few_groups=False`` (one group per vessel, say) brackets join by shuffle.
     """
     groups = list(groups)
     x = F.col(value).cast("double")
@@ -50,7 +52,7 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     brackets = brackets.select(*groups, "n", F.array(*wanted).alias("_want"))
 
     if groups:
-        tagged = rows.join(F.broadcast(brackets), groups)
+        tagged = rows.join(F.broadcast(brackets) if few_groups else brackets, groups)
     else:
         tagged = rows.withColumn("_one", F.lit(0)).join(
             F.broadcast(brackets.withColumn("_one", F.lit(0))), "_one")
