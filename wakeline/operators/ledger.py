@@ -17,6 +17,7 @@ from wakeline.registry import (
     WEATHER,
     WEATHER_DEFAULTS,
     features_frame,
+    inline,
 )
 
 MOVING_SPEED = 0.5
@@ -69,21 +70,21 @@ def cohort_scales(df: DataFrame, features: Sequence[str], cohort: str = "vessel_
     stats = exact_percentiles(both, ["cohort", "feature"], "value", QUARTILES).select(
         "cohort", "feature", *_center_scale(1e-5))
     sizes = df.groupBy(own.alias("cohort")).agg(F.count(F.lit(1)).alias("rows"))
-    everyone = stats.where(F.col("cohort") == 0)
-    expected = everyone.select(
-        F.explode(F.sequence(F.lit(1), F.lit(max(SUPERCLASS.values())))).alias("cohort"), "feature",
-        F.col("center").alias("_c0"), F.col("scale").alias("_s0"))
-    large = stats.join(sizes.where(F.col("rows") >= MIN_COHORT_ROWS).select("cohort"), "cohort", "left_semi")
-    filled = expected.join(large, ["cohort", "feature"], "left").select(
-        "cohort", "feature", F.coalesce("center", "_c0").alias("center"), F.coalesce("scale", "_s0").alias("scale"))
-    return filled.unionByName(everyone)
+    large = stats.join(sizes.where(F.col("rows") >= MIN_COHORT_ROWS).select("cohort").unionByName(
+        inline(df.sparkSession, [(0,)], "cohort int")), "cohort", "left_semi")
+    # one row per feature with its entries by cohort (at most 14), then fill the gaps from entry 0
+    entry = F.struct("cohort", F.struct("center", "scale").alias("s"))
+    by_feature = large.groupBy("feature").agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    cohorts = by_feature.withColumn("cohort", F.explode(F.sequence(F.lit(0), F.lit(max(SUPERCLASS.values())))))
+    own_entry = F.coalesce(F.try_element_at("_m", F.col("cohort")), F.try_element_at("_m", F.lit(0)))
+    return cohorts.withColumn("_s", own_entry).select("cohort", "feature", "_s.center", "_s.scale")
 
 
 def weather_scales(df: DataFrame) -> DataFrame:
     """Scales of the weather features that are present, defaults for the rest."""
     present = [f for f in WEATHER if f in df.columns]
-    defaults = df.sparkSession.createDataFrame(
-        [(f, *cs) for f, cs in WEATHER_DEFAULTS.items()], "feature string, _c0 double, _s0 double")
+    defaults = inline(
+        df.sparkSession, [(f, *cs) for f, cs in WEATHER_DEFAULTS.items()], "feature string, _c0 double, _s0 double")
     measured = global_scales(df, present, iqr_floor=1e-4) if present else defaults.select(
         "feature", F.lit(None).cast("double").alias("center"), F.lit(None).cast("double").alias("scale")).limit(0)
     return defaults.join(measured, "feature", "left").select(
@@ -169,8 +170,8 @@ def phase_weights(df: DataFrame) -> DataFrame:
 def active_targets(ledger: DataFrame, weather_ledger: DataFrame) -> DataFrame:
     """Reconstruction targets whose largest scale over cohorts is not near zero."""
     spark = ledger.sparkSession
-    wanted = spark.createDataFrame([(t, t in WEATHER) for t in TARGETS], "feature string, is_weather boolean")
-    derived = spark.createDataFrame([(d,) for d in DERIVED_TARGETS], "feature string")
+    wanted = inline(spark, [(t, t in WEATHER) for t in TARGETS], "feature string, is_weather boolean")
+    derived = inline(spark, [(d,) for d in DERIVED_TARGETS], "feature string")
     cohort_max = ledger.groupBy("feature").agg(F.max("scale").alias("_c"))
     weather_max = weather_ledger.groupBy("feature").agg(F.max("scale").alias("_w"))
     scale = F.when(F.col("is_weather"), F.coalesce("_w", F.lit(1.0))).otherwise(F.coalesce("_c", F.lit(0.0)))

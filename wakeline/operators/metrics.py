@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import scoring
 from wakeline.operators.quantiles import exact_percentiles
-from wakeline.registry import FRONTIER_PERCENTILES, SCENARIOS, TIERS
+from wakeline.registry import FRONTIER_PERCENTILES, SCENARIOS, TIERS, inline
 
 CALIBRATION_PERCENTILE = 0.995
 CHANNELS = ("recon", "ann")
@@ -197,7 +197,7 @@ def _correlation(x: str, y: str) -> Column:
 
 def scenario_breakdown(df: DataFrame, channels: Sequence[str], severity: str = "severity", mode: str = "mode") -> DataFrame:
     """Per scenario: count, mean of each channel, correlation with the severity."""
-    known = df.sparkSession.createDataFrame([(s,) for s in SCENARIOS], f"{mode} string")
+    known = inline(df.sparkSession, [(s,) for s in SCENARIOS], f"{mode} string")
     stats = df.groupBy(mode).agg(
         F.count(F.lit(1)).alias("samples"), *[F.avg(c).alias(f"mean_{c}") for c in channels],
         *[_correlation(c, severity).alias(f"corr_{c}") for c in channels])
@@ -208,7 +208,7 @@ def scenario_breakdown(df: DataFrame, channels: Sequence[str], severity: str = "
 
 def tier_counts(df: DataFrame) -> DataFrame:
     """Decisions per alert tier, tiers without any included."""
-    known = df.sparkSession.createDataFrame([(t,) for t in TIERS], "tier string")
+    known = inline(df.sparkSession, [(t,) for t in TIERS], "tier string")
     tier = scoring.alert_tier(F.col("alert_recon"), F.col("alert_ann"))
     counts = df.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
     return known.join(counts, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"))
@@ -216,7 +216,8 @@ def tier_counts(df: DataFrame) -> DataFrame:
 
 def vessel_split(df: DataFrame, vessel: str, share: int = 80, seed: int = 42) -> DataFrame:
     """Whole vessels go to one side; the side depends only on vessel and seed."""
-    side = F.pmod(F.xxhash64(F.col(vessel), F.lit(seed)), F.lit(100)) < share
+    digest = F.md5(F.concat_ws("_", F.lit(str(seed)), F.col(vessel).cast("string")).cast("binary"))
+    side = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(100)) < share
     return df.withColumn("split", F.when(side, "train").otherwise("validate"))
 
 

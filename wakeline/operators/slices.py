@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 Trigger = Callable[[Column, Column], Column]
 
-TIME_SLICE_SEC = 86_400
+# An hour of one vessel, or the rows of one vessel within five million arrivals: what one
+# task sorts.  The summary keeps one row for each of these.
+TIME_SLICE_SEC = 3_600
 SEQUENCE_SLICE = 5_000_000
 
 
@@ -173,25 +175,29 @@ def running_sum(df: DataFrame, track: Track, value: str, out: str) -> DataFrame:
     )
 
 
-def dense_sequence(df: DataFrame, order: Sequence[str], out: str, start: int | Column = 0,
-                   slice_by: Column | None = None) -> DataFrame:
+def dense_sequence(df: DataFrame, order: Sequence[str], out: str, coarse: Column, fine: Column,
+                   start: int = 0) -> DataFrame:
     """Gap-free sequence number over a total order, without one global sort task.
 
-    ``slice_by`` must rise with ``order``: rows are numbered inside a slice and
-    shifted by the number of rows in all earlier slices.
+    Both slice columns must rise with ``order``, ``fine`` within ``coarse``.  Rows
+    are numbered inside a fine slice and shifted by the rows of all earlier ones;
+    the shift itself is summed in two steps, so only coarse totals meet in one
+    task.
     """
-    sliced = df.withColumn("_slice", slice_by)
-    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_one").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        counts.withColumn("_one", F.lit(0))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .select("_slice", "_offset")
-    )
-    number = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    start = start if isinstance(start, Column) else F.lit(start)
+    sliced = df.withColumns({"_coarse": coarse, "_fine": fine})
+    counts = sliced.groupBy("_coarse", "_fine").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    within = earlier(Window.partitionBy("_coarse").orderBy("_fine"))
+    inner = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), zero))
+    across = earlier(Window.partitionBy("_all").orderBy("_coarse"))
+    outer = counts.groupBy("_coarse").agg(F.sum("_n").alias("_n")).withColumn("_all", zero)
+    outer = outer.select("_coarse", F.coalesce(F.sum("_n").over(across), zero).alias("_base"))
+    offsets = inner.join(outer, "_coarse").select(
+        "_coarse", "_fine", (F.col("_base") + F.col("_before")).alias("_offset"))
+    number = F.row_number().over(Window.partitionBy("_coarse", "_fine").orderBy(*order))
     return (
         sliced.withColumn("_rn", number)
-        .join(offsets, "_slice")
-        .select(*df.columns, (start + F.col("_offset") + F.col("_rn") - 1).cast("bigint").alias(out))
+        .join(offsets, ["_coarse", "_fine"])
+        .select(*df.columns, (F.lit(start) + F.col("_offset") + F.col("_rn") - 1).cast("bigint").alias(out))
     )

@@ -130,8 +130,9 @@ def p10(spark, sf):
 FROM events""")
 def p11(spark, sf):
     ev = views.table(spark, sf, "events").select("event_id", "ts")
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
-    return slices.dense_sequence(ev, ["ts", "event_id"], "global_lsn", 1000, hour).drop("ts")
+    minutes = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(60_000_000)
+    day, ten = F.floor(minutes / F.lit(1_440)), F.floor(minutes / F.lit(10))
+    return slices.dense_sequence(ev, ["ts", "event_id"], "global_lsn", day, ten, start=1000).drop("ts")
 
 
 @query("p12_weather_aliases", """SELECT event_id, value AS "TMP", value*2 AS "GUST",

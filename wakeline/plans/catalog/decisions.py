@@ -182,7 +182,8 @@ def f15(spark, sf):
     return _round(metrics.scenario_delta(pairs, _limits(spark, sf), "vessel_id_int"), "delta")
 
 
-@query("f17_vessel_split")
+@query("f17_vessel_split", f"""WITH {WINDOWS} SELECT DISTINCT vessel_id_int, CASE WHEN ('0x' || substr(md5('42_' || vessel_id_int), 1, 8))::BIGINT % 100 < 80
+  THEN 'train' ELSE 'validate' END AS split, 1::BIGINT AS sides FROM win""")
 def f17(spark, sf):
     return metrics.vessel_split(_windows(spark, sf), "vessel_id_int").groupBy("vessel_id_int").agg(
         F.min("split").alias("split"), F.count_distinct("split").alias("sides"))

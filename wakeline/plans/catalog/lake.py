@@ -63,7 +63,7 @@ def s4(spark, sf):
 def _lake_rows(spark, sf):
     rows = views.table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("datetime"),
-        F.pmod("o_custkey", F.lit(4)).cast("int").alias("vessel_bucket_id"))
+        F.pmod("o_custkey", F.lit(2)).cast("int").alias("vessel_bucket_id"))
     return lake.with_partitions(rows)
 
 
@@ -73,7 +73,7 @@ def _lake(spark, sf):
     return path
 
 
-@query("s5_partitioned_sink", """SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, (o_custkey % 4)::INT AS vessel_bucket, count(*) AS n,
+@query("s5_partitioned_sink", """SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, (o_custkey % 2)::INT AS vessel_bucket, count(*) AS n,
   sum(o_orderkey + CASE WHEN year(o_orderdate) = 1995 THEN 1 ELSE 0 END)::BIGINT AS keys FROM orders GROUP BY 1, 2, 3""")
 def s5(spark, sf):
     path = _lake(spark, sf)
@@ -132,7 +132,7 @@ def s11(spark, sf):
     return lake.read_tolerant(spark, ev.schema, f"{root}/good", f"{root}/broken")
 
 
-@query("a33_shard_leaks", """SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, (o_custkey % 4)::INT AS vessel_bucket,
+@query("a33_shard_leaks", """SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, (o_custkey % 2)::INT AS vessel_bucket,
   max(epoch_us(o_orderdate)//1000000) AS max_sec FROM orders GROUP BY 1, 2, 3 HAVING max(epoch_us(o_orderdate)//1000000) >= 870000000""")
 def a33(spark, sf):
     rows = lake.read_lake(spark, _lake(spark, sf), columns=["datetime"])
@@ -141,7 +141,7 @@ def a33(spark, sf):
     return leaks.select(part("year"), part("month"), part("vessel_bucket"), F.col("max_ts").alias("max_sec"))
 
 
-@query("a34_partition_inventory", """SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(DISTINCT o_custkey % 4) AS files FROM orders
+@query("a34_partition_inventory", """SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(DISTINCT o_custkey % 2) AS files FROM orders
 WHERE year(o_orderdate) < 1997 GROUP BY 1, 2""")
 def a34(spark, sf):
     return lake.partition_inventory(lake.read_lake(spark, _lake(spark, sf), lake.up_to(1996, 12)))

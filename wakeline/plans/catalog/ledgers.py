@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wakeline.operators import kinematics, ledger
 from wakeline.plans import views
 from wakeline.plans.catalog.base import MOTION, TRACKS, query, r6, with_blocks
-from wakeline.registry import DERIVED_TARGETS, FEATURES, TARGETS, WEATHER, WEATHER_DEFAULTS
+from wakeline.registry import DERIVED_TARGETS, FEATURES, TARGETS, WEATHER, WEATHER_DEFAULTS, inline
+from wakeline.session import stored
 
 NAMES = ["speed_raw", "course_change", "acceleration", "turn_rate", "jerk", "delta_x_nm", "delta_y_nm",
          "course_sin", "course_cos", "log_time_diff", "turn_rate_speed_ratio"]
@@ -29,11 +30,13 @@ LEDGER = [LONG, GLOBAL, *COHORTS]
 
 
 def _rows(spark, sf):
-    return kinematics.motion_features(views.tracks(spark, sf))
+    """Features as a stored table, the way the ledger is built from the lake."""
+    columns = ["global_lsn", "vessel_superclass_id", "geodetic_distance_nm", *NAMES]
+    return stored(kinematics.motion_features(views.tracks(spark, sf)).select(*columns), "features")
 
 
-def _ledger(spark, sf):
-    return ledger.cohort_scales(ledger.moving(_rows(spark, sf)), NAMES)
+def _ledger(rows):
+    return stored(ledger.cohort_scales(ledger.moving(rows), NAMES), "ledger")
 
 
 def _round(df, *names):
@@ -54,7 +57,7 @@ def a4(spark, sf):
 
 @query("a5_cohort_scales", with_blocks(MOTION, "SELECT cohort::INT AS cohort, feature, r6(center) AS center, r6(scale) AS scale FROM ledger", extra=LEDGER))
 def a5(spark, sf):
-    return _round(_ledger(spark, sf), "center", "scale")
+    return _round(_ledger(_rows(spark, sf)), "center", "scale")
 
 
 WEATHER_VALUES = "SELECT event_id, value AS wind_speed, 280.0::DOUBLE + value/10.0 AS temperature, 5.0::DOUBLE AS humidity FROM events"
@@ -99,16 +102,18 @@ JOIN ledger lt ON lt.cohort = m.vessel_superclass_id AND lt.feature = 'turn_rate
 JOIN ledger lx ON lx.cohort = m.vessel_superclass_id AND lx.feature = 'delta_x_nm'""", extra=LEDGER))
 def p16(spark, sf):
     names = ["speed_raw", "turn_rate", "delta_x_nm"]
-    out = ledger.scaled(_rows(spark, sf), _ledger(spark, sf), names)
+    rows = _rows(spark, sf)
+    out = ledger.scaled(rows, _ledger(rows), names)
     return _round(out.select("global_lsn", *names), *names)
 
 
 @query("j12_cohort_scale_fallback", with_blocks(MOTION, """SELECT m.global_lsn, r6((m.speed_raw - l.center)/CASE WHEN abs(l.scale) > 1e-6 THEN l.scale ELSE 1 END) AS speed_raw,
   r6(m.jerk) AS jerk FROM motion m JOIN ledger l ON l.feature = 'speed_raw' AND l.cohort = CASE WHEN m.vessel_superclass_id IN (0, 7, 10) THEN m.vessel_superclass_id ELSE 0 END""", extra=LEDGER))
 def j12(spark, sf):
-    part = _ledger(spark, sf).where(F.col("cohort").isin(0, 7, 10) & (F.col("feature") != "jerk"))
+    rows = _rows(spark, sf)
+    part = _ledger(rows).where(F.col("cohort").isin(0, 7, 10) & (F.col("feature") != "jerk"))
     names = ["speed_raw", "jerk"]
-    return _round(ledger.scaled(_rows(spark, sf), part, names).select("global_lsn", *names), *names)
+    return _round(ledger.scaled(rows, part, names).select("global_lsn", *names), *names)
 
 
 @query("j13_weather_scale_default", "WITH " + ", ".join(WLEDGER) + """ SELECT event_id, r6((wind_speed - w.center)/w.scale) AS wind_speed,
@@ -128,7 +133,7 @@ def j13(spark, sf):
 def p17(spark, sf):
     rows = views.raw_tracks(spark, sf)
     bounds = ledger.envelope(ledger.moving(rows))
-    none = spark.createDataFrame([], "cohort int, feature string, center double, scale double")
+    none = inline(spark, [], "cohort int, feature string, center double, scale double")
     out = ledger.scaled(rows.withColumn("vessel_superclass_id", F.lit(0)), none, [], bounds=bounds)
     return _round(out.select("global_lsn", "lon_raw", "lat_raw"), "lon_raw", "lat_raw")
 
@@ -160,7 +165,7 @@ def p21(spark, sf):
    UNION ALL SELECT feature, scale FROM weather WHERE feature IN ({", ".join(f"'{t}'" for t in TARGETS if t in WEATHER)}))
 WHERE max_scale >= 0.01 AND feature NOT IN ({", ".join(f"'{t}'" for t in DERIVED_TARGETS)})""", extra=[*LEDGER, *WLEDGER]))
 def a27(spark, sf):
-    return _round(ledger.active_targets(_ledger(spark, sf), ledger.weather_scales(_weather_rows(spark, sf))), "max_scale")
+    return _round(ledger.active_targets(_ledger(_rows(spark, sf)), ledger.weather_scales(_weather_rows(spark, sf))), "max_scale")
 
 
 FIT = ["l_quantity", "l_extendedprice", "l_discount"]

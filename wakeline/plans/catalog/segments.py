@@ -98,5 +98,7 @@ def t1(spark, sf):
 
     rows = views.raw_tracks(spark, sf).select("vessel_id_int", "timestamp_sec", "global_lsn")
     order = ["vessel_id_int", "timestamp_sec", "global_lsn"]
-    numbered = dense_sequence(rows, order, "position", 1, F.floor(F.col("vessel_id_int") / F.lit(16)))
-    return numbered.orderBy("position")
+    hour = F.floor(F.col("timestamp_sec") / F.lit(3_600))
+    numbered = dense_sequence(
+        rows, order, "position", F.floor(F.col("vessel_id_int") / F.lit(16)), F.struct("vessel_id_int", hour), start=1)
+    return numbered.orderBy(*order)

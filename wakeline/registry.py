@@ -130,12 +130,30 @@ def group_of(feature: str) -> str:
     return next(name for name, members in groups if feature in members)
 
 
+def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a literal relation, so that reading it starts no job."""
+
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("'", "\\'") + "'"
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+
+    fields = [f.split() for f in schema.split(",")]
+    names = ", ".join(name for name, _ in fields)
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    if not rows:
+        nulls = ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in fields)
+        return spark.sql(f"SELECT {nulls} WHERE false")
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+
+
 def features_frame(spark: SparkSession) -> DataFrame:
     """One row per feature: name, group, position, and whether it is scaled or a target."""
     rows = [(f, group_of(f), i, f in SCALED, f in TARGETS) for i, f in enumerate(FEATURES)]
-    return spark.createDataFrame(
-        rows, "feature string, grp string, ordinal int, scaled boolean, target boolean"
-    )
+    return inline(spark, rows, "feature string, grp string, ordinal int, scaled boolean, target boolean")
 
 
 def taxonomy_rows(corrected: bool = False) -> list[tuple[int, int, int]]:
@@ -153,7 +171,5 @@ def taxonomy_rows(corrected: bool = False) -> list[tuple[int, int, int]]:
 
 def taxonomy_frame(spark: SparkSession, corrected: bool = False) -> DataFrame:
     """Ship-type dimension; codes are 0-99, so it can always be broadcast."""
-    return spark.createDataFrame(
-        taxonomy_rows(corrected),
-        "shiptype bigint, vessel_superclass_id int, vessel_behavior_id int",
-    )
+    return inline(
+        spark, taxonomy_rows(corrected), "shiptype bigint, vessel_superclass_id int, vessel_behavior_id int")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wakeline.registry import inline
+
 STATE = T.StructType([
     T.StructField("vessel_id_int", T.LongType()),
     T.StructField("last_timestamp", T.LongType()),
@@ -42,7 +44,7 @@ class StateTable:
             return self.spark.read.schema(STATE).parquet(self.version(batch - 1))
         if self.initial:
             return self.spark.read.schema(STATE).parquet(self.initial)
-        return self.spark.createDataFrame([], STATE)
+        return inline(self.spark, [], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STATE.fields))
 
     def save(self, state: DataFrame, batch: int) -> None:
         state.select(*STATE.names).write.mode("overwrite").parquet(self.version(batch))
