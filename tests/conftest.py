@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from wakeline.session import local_session
 
-    session = local_session(app="wakeline-tests")
+    session = local_session(app="wakeline-tests", **{"spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()

@@ -90,7 +90,8 @@ def score_curve(df: DataFrame, label: str, score: str, slices: int = SCORE_SLICE
     of range totals shifts them, so no task sorts all scores.
     """
     rows = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("score"))
-    cuts = sorted(set(rows.approxQuantile("score", [i / slices for i in range(1, slices)], 0.25 / slices)))
+    at = [i / slices for i in range(1, max(slices, 2))]
+    cuts = sorted(set(rows.approxQuantile("score", at, 0.25 / slices))) or [0.0]
     ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="score", outputCol="_slice")
     counts = rows.groupBy("score").agg(F.sum("_y").alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
     counts = ranges.transform(counts)

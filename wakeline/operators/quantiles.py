@@ -54,8 +54,8 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     if groups:
         tagged = rows.join(F.broadcast(brackets) if few_groups else brackets, groups)
     else:
-        tagged = rows.withColumn("_one", F.lit(0)).join(
-            F.broadcast(brackets.withColumn("_one", F.lit(0))), "_one")
+        tagged = rows.withColumn("_b", brackets.select(F.struct("n", "_want")).scalar()).select(
+            "_x", "_b.n", "_b._want")
     reach = F.filter("_want", lambda w: F.col("_x") <= w["hi"])
     counted = (
         tagged.withColumn("_w", F.explode(reach))

@@ -30,15 +30,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def local_session(cores: str = "8", app: str = "wakeline", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
-    builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
-        .config("spark.sql.shuffle.partitions", "8")
-    )
-    for key, value in extra.items():
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8",
+    } | extra
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
