@@ -21,6 +21,31 @@ def test_drift_fixture(spark):
     assert got == pytest.approx([0.0, 1.0, 0.006116], abs=1e-6)
 
 
+@pytest.mark.parametrize("settle", [1, 20, 300])
+def test_long_histories_are_split_exactly(spark, settle):
+    """Pieces equal the plain fold, whether the warm-up settles or the vessel is folded again."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.random() < 0.7), i, [float(x) for x in rng.normal(0.5, 1, 4)]) for i in range(900)]
+    df = frame(spark, rows, "embedding_id long, vessel_id_int long, timestamp_sec long, embedding array<double>")
+    out = drift.prototype_drift(df, buffer=12, min_seen=5, piece_rows=settle + 40, settle=settle)
+    got = {r["embedding_id"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for v in (0, 1):
+        known, roll, limit = None, drift.RollingPercentile(12, 0.95), 0.45
+        for i, vessel, _, vector in rows:
+            if vessel != v:
+                continue
+            first = known is None
+            d, known = drift.step(known, np.array(vector), 0.1)
+            if not first:
+                roll.add(d)
+                limit = roll.value() if len(roll.recent) >= 5 else limit
+            assert got[i]["drift"] == pytest.approx(d, abs=1e-9)
+            assert got[i]["threshold"] == pytest.approx(limit, abs=1e-9)
+
+
 def test_rolling_percentile():
     import numpy as np
 

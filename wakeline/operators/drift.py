@@ -1,9 +1,11 @@
 """Running behaviour prototype per vessel and its drift score.
 
-The prototype is an order-dependent fold (each step renormalises), so one vessel
-is a chain that cannot be summed in parallel.  Rows are partitioned by vessel,
-sorted, and streamed through the fold: a vessel costs one prototype and one
-bounded buffer of memory, however long its history.
+The prototype is an order-dependent fold: every step renormalises, so no partial
+sums exist.  A long history is still split.  Each piece of a vessel first replays
+the rows just before it, starting cold; the influence of the cold start fades by
+a factor of about 1 - alpha per row.  Where the prototype a piece starts from
+equals the one its predecessor ended with, the pieces form the exact chain.  A
+vessel for which that fails anywhere is folded again from its first row.
 """
 
 from __future__ import annotations
@@ -17,9 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.operators.slices import Track
+from wakeline.operators.windows import numbered
+from wakeline.session import stored
+
 ALPHA, BASE_THRESHOLD, PERCENTILE = 0.1, 0.45, 0.95
 BUFFER, MIN_SEEN = 10_000, 1_000
-OUT = "embedding_id bigint, vessel_id_int bigint, timestamp_sec bigint, drift double, threshold double, outlier int"
+PIECE_ROWS, SETTLE_ROWS, SEAM_TOLERANCE = 200_000, 512, 1e-12
+BY_EMBEDDING = Track(order=("timestamp_sec", "embedding_id"))
+IDS = ["embedding_id", "vessel_id_int", "timestamp_sec"]
+OUT = ("embedding_id bigint, vessel_id_int bigint, timestamp_sec bigint, piece bigint, drift double, "
+       "threshold double, outlier int, start array<double>, finish array<double>")
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -55,36 +65,68 @@ class RollingPercentile:
         return low if at == k else low + (self.ordered[k + 1] - low) * (at - k)
 
 
-def prototype_drift(df: DataFrame, alpha: float = ALPHA, buffer: int = BUFFER, min_seen: int = MIN_SEEN) -> DataFrame:
-    """Drift of each embedding from its vessel's prototype, threshold and outlier flag.
-
-    The threshold is the 95th percentile of the vessel's last ``buffer`` drifts
-    once ``min_seen`` were seen, and a constant before.
-    """
+def _folder(alpha: float, buffer: int, min_seen: int, piece_rows: int, settle: int):
+    """Fold sorted (vessel, piece, row_no) rows; warm rows move the state but are not put out."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vessel, prototype, seen, threshold = None, None, None, BASE_THRESHOLD
+        at, prototype, seen, threshold, warmed = None, None, None, BASE_THRESHOLD, 0
         for pdf in batches:
-            drifts, limits, flags = [], [], []
-            for v, vector in zip(pdf["vessel_id_int"].to_numpy(), pdf["embedding"]):
-                if v != vessel:
-                    vessel, prototype, seen, threshold = v, None, RollingPercentile(buffer, PERCENTILE), BASE_THRESHOLD
-                first = prototype is None
+            rows = []
+            columns = (pdf[c].to_numpy() for c in ("vessel_id_int", "piece", "row_no", "warm"))
+            for i, (vessel, piece, row_no, warm, vector) in enumerate(zip(*columns, pdf["embedding"])):
+                if (vessel, piece) != at:
+                    at, prototype, threshold, warmed = (vessel, piece), None, BASE_THRESHOLD, 0
+                    seen = RollingPercentile(buffer, PERCENTILE)
+                before = prototype
                 drift, prototype = step(prototype, np.asarray(vector, float), alpha)
-                if not first:
+                warmed += int(warm)
+                if before is not None and (not warm or warmed > settle):
                     seen.add(drift)
                     if len(seen.recent) >= min_seen:
                         threshold = seen.value()
-                drifts.append(drift)
-                limits.append(threshold)
-                flags.append(int(not first and drift > threshold))
-            yield pdf[["embedding_id", "vessel_id_int", "timestamp_sec"]].assign(
-                drift=drifts, threshold=limits, outlier=flags)
-
-    rows = df.select("embedding_id", "vessel_id_int", "timestamp_sec", "embedding")
-    ordered = rows.repartition("vessel_id_int").sortWithinPartitions(
-        "vessel_id_int", "timestamp_sec", "embedding_id")
-    return ordered.mapInPandas(fold, OUT)
+                if not warm:
+                    first, last = row_no % piece_rows == 0 and before is not None, row_no % piece_rows == piece_rows - 1
+                    rows.append((i, drift, threshold, int(before is not None and drift > threshold),
+                                 before if first else None, prototype if last else None))
+            kept = pdf.iloc[[r[0] for r in rows]][[*IDS, "piece"]]
+            yield kept.assign(
+                drift=[r[1] for r in rows], threshold=[r[2] for r in rows], outlier=[r[3] for r in rows],
+                start=[r[4] for r in rows], finish=[r[5] for r in rows])
+
+    return fold
+
+
+def _run(pieces: DataFrame, fold) -> DataFrame:
+    keys = ["vessel_id_int", "piece"]
+    return pieces.repartition(*keys).sortWithinPartitions(*keys, "row_no").mapInPandas(fold, OUT)
+
+
+def prototype_drift(df: DataFrame, alpha: float = ALPHA, buffer: int = BUFFER, min_seen: int = MIN_SEEN,
+                    piece_rows: int = PIECE_ROWS, settle: int = SETTLE_ROWS) -> DataFrame:
+    """Drift of each embedding from its vessel's prototype, threshold and outlier flag.
+
+    The threshold is the 95th percentile of the vessel's last ``buffer`` drifts
+    once ``min_seen`` were seen, and a constant before.
+    """
+    lead = buffer + settle  # enough rows to settle and then refill the drift buffer
+    if lead >= piece_rows:
+        raise ValueError("a piece must be longer than its warm-up")
+    rows = numbered(df.select(*IDS, "embedding"), BY_EMBEDDING)
+    own = F.floor(F.col("row_no") / F.lit(piece_rows)).cast("bigint")
+    shared = F.pmod("row_no", F.lit(piece_rows)) >= piece_rows - lead
+    pieces = rows.withColumn("piece", F.explode(F.when(shared, F.array(own, own + 1)).otherwise(F.array(own))))
+    pieces = pieces.withColumn("warm", F.col("piece") != own)
+    folded = stored(_run(pieces, _folder(alpha, buffer, min_seen, piece_rows, settle)), "drift")
+
+    ends = folded.where(F.col("finish").isNotNull()).select("vessel_id_int", (F.col("piece") + 1).alias("piece"), "finish")
+    starts = folded.where(F.col("start").isNotNull()).select("vessel_id_int", "piece", "start")
+    gap = F.aggregate(F.zip_with("start", "finish", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda m, x: F.greatest(m, x))
+    broken = starts.join(ends, ["vessel_id_int", "piece"]).where(gap > SEAM_TOLERANCE).select("vessel_id_int").distinct()
+    whole = rows.join(broken, "vessel_id_int", "left_semi").withColumns(
+        {"piece": F.lit(0).cast("bigint"), "warm": F.lit(False)})
+    again = _run(whole, _folder(alpha, buffer, min_seen, piece_rows, settle))
+    sound = folded.join(broken, "vessel_id_int", "left_anti")
+    return sound.unionByName(again).select(*IDS, "drift", "threshold", "outlier")
 
 
 def scaled_drift(drift: Column) -> Column:
