@@ -21,6 +21,10 @@ def _as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _square(x: Column) -> Column:
+    return x * x
+
+
 def _arc_nm(a: Column) -> Column:
     """Haversine term to nautical miles; the clip leaves a floor of about 0.2176 nm."""
     clipped = F.least(F.greatest(a, F.lit(1e-9)), F.lit(1.0 - 1e-9))
@@ -34,7 +38,7 @@ def great_circle_nm(lat, lon, to_lat, to_lon) -> Column:
 
 def arc_from_deltas(lat: Column, to_lat: Column, dlat: Column, dlon: Column) -> Column:
     """Great circle from already differenced degrees (fixed-point deltas keep noise out)."""
-    half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2.0))
+    half = lambda d: _square(F.sin(F.radians(d) / 2))
     return _arc_nm(half(dlat) + F.cos(F.radians(lat)) * F.cos(F.radians(to_lat)) * half(dlon))
 
 
@@ -81,7 +85,7 @@ def raster_cell(lat: Column, lon: Column) -> tuple[Column, Column]:
 def raster_cell_value(row: Column, col: Column) -> Column:
     lat = F.lit(RASTER["lat_max"]) - row * F.lit(RASTER["res"])
     lon = F.lit(RASTER["lon_min"]) + col * F.lit(RASTER["res"])
-    squares = [F.pow(lat - a, F.lit(2.0)) + F.pow(lon - b, F.lit(2.0)) for a, b in COASTLINE]
+    squares = [_square(lat - a) + _square(lon - b) for a, b in COASTLINE]
     on_land = (lat > LAND_BOX[0]) & (lon > LAND_BOX[1])
     return F.when(on_land, F.lit(0.0)).otherwise(F.sqrt(F.least(*squares)) * 60.0)
 

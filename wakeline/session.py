@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles a method above 8000 bytes of bytecode.  Stages whose fused
+    # method would be larger run as split projections instead, several times faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     # sessions of one busy key are merged before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -35,6 +38,8 @@ def local_session(cores: str = "8", app: str = "wakeline", **extra: str) -> Spar
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": "8",
+        # capturing the Python call site of every column expression doubles plan-building time
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | extra
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in settings.items():
