@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import frame, plan_text, random_tracks, values
 from wakeline.operators import kinematics, quality, segmentation
-from wakeline.operators.slices import Stitch, Track, dense_sequence, running_sum, stitch
+from wakeline.operators.slices import Stitch, Track, dense_sequence, fitted, running_sum, stitch
 from wakeline.plans import ingest
 
 WIDTHS = [7, 500, 10_000_000]
@@ -56,6 +56,13 @@ def test_running_sum_and_trips_do_not_depend_on_slices(spark, width):
         assert r["n"] == seen[r["vessel_id_int"]]
 
 
+def test_fitted_slices_follow_the_busiest_vessel(spark):
+    df = spark.range(1_000).selectExpr("1L as vessel_id_int", "id as timestamp_sec", "id as global_lsn")
+    assert fitted(df, by_time(500), 100).width == 100
+    assert fitted(df, by_time(500), 10_000).width == 500
+    assert fitted(df.limit(0), by_time(500)).width == 500
+
+
 def test_trip_counters(spark):
     rows = [(0, 0, 5.0), (1, 600, 5.0), (2, 3000, 5.0), (3, 3100, 0.5)]
     df = frame(spark, [(1, t, lsn, s) for lsn, t, s in rows], "vessel_id_int long, timestamp_sec long, global_lsn long, speed_raw double")

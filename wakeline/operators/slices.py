@@ -14,17 +14,18 @@ wide side again.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Trigger = Callable[[Column, Column], Column]
 
-# An hour of one vessel, or the rows of one vessel within five million arrivals: what one
-# task sorts.  The summary keeps one row for each of these.
-TIME_SLICE_SEC = 3_600
+# Six hours of one vessel, or its rows within five million arrivals: what one task sorts.
+# The summary keeps one row for each of these.  ``fitted`` shortens the slices of dense tracks.
+TIME_SLICE_SEC = 21_600
 SEQUENCE_SLICE = 5_000_000
+ROWS_PER_SLICE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,17 @@ class Track:
         return F.floor(F.col(self.order[0]) / F.lit(self.width)).cast("bigint")
 
 
+def fitted(df: DataFrame, track: Track, rows_per_slice: int = ROWS_PER_SLICE) -> Track:
+    """The track with slices short enough for its busiest vessel.
+
+    One column-pruned count, combined before the shuffle; a single number comes
+    back.  The result never depends on the width, only the size of the tasks does.
+    """
+    sizes = df.groupBy(*track.key, track.slice_column().alias("_slice")).agg(F.count(F.lit(1)).alias("n"))
+    busiest = sizes.agg(F.max("n")).first()[0] or 0
+    return replace(track, width=max(track.width / max(1, -(-busiest // rows_per_slice)), 1))
+
+
 BY_TIME = Track()
 BY_SEQUENCE = Track(order=("global_lsn",), width=SEQUENCE_SLICE)
 
