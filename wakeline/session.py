@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan here relies on (UTC clock, AQE, Arrow)."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+# The driver's file server sends the archive to executors as they join, so it stays while the driver runs.
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application.
+
+    Functions that run in workers name their module; executors need not have it installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = _SHIPPED[context.applicationId] = tempfile.TemporaryDirectory()
+    target = Path(folder.name) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def local_session(cores: str = "8", app: str = "wakeline", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     settings = {
