@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import line_frequency, order_minhash, perspectives, url_filter
+from wakeline.llm import line_frequency, order_minhash, perspectives, schedule, token_counts, url_filter
 from wakeline.llm.common import table
 
 QUERIES: dict = {}
@@ -103,3 +103,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("url", "/[a-z][a-z]/([0-9]+)", 1).try_cast("bigint")
     listing = pages.select(number.alias("doc_id"), url_filter.canonical(host, path).alias("canonical")).join(toxic, "doc_id")
     return url_filter.judge(pages, listing, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_golden_ratio_mix", """
+WITH docs AS (SELECT doc_id, coalesce('0' || source, '1') AS queue, md5(CAST(doc_id AS VARCHAR)) AS deal,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT queue, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY 1),
+s1 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY queue) - 1) % 3] AS w,
+    1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS wanted FROM s0),
+s2 AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio FROM s1),
+s3 AS (SELECT *, (wanted - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lvl FROM s2
+  WINDOW o AS (ORDER BY ratio, queue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, least(cap, w * coalesce((SELECT lvl FROM s3 WHERE lvl <= ratio ORDER BY ratio, queue LIMIT 1), 0)) AS target FROM s3),
+s5 AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM s4),
+laid AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY queue ORDER BY deal, doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM docs)
+SELECT doc_id, size, source_size, target,
+  CAST(passes * size + greatest(0, least(size, words - passes * source_size - start)) AS BIGINT) AS taken
+FROM laid JOIN s5 USING (queue)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.mix(table(spark, sf_dir, "documents"))
