@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import line_frequency, order_minhash, perspectives, schedule, token_counts, url_filter
+from wakeline.llm import line_frequency, order_minhash, packing, perspectives, schedule, token_counts, url_filter
 from wakeline.llm.common import table
 
 QUERIES: dict = {}
@@ -128,3 +128,8 @@ SELECT doc_id, size, source_size, target,
 FROM laid JOIN s5 USING (queue)""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op3_deficit_round_robin_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
