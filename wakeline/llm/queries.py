@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import line_frequency, order_minhash, packing, perspectives, schedule, token_counts, url_filter
+from wakeline.llm import licenses, line_frequency, order_minhash, packing, perspectives, schedule, token_counts, url_filter
 from wakeline.llm.common import table
 
 QUERIES: dict = {}
@@ -133,3 +133,53 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_deficit_round_robin_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+_SHORT = "regexp_replace({}, '^[.-]+|[.-]+$', '', 'g')"
+_TERMS = ("list_filter(list_transform(string_split_regex(lower(line), '[^a-z0-9.-]+'), lambda t: " + _SHORT.format("t")
+          + "), lambda t: t <> '')")
+_TEMPLATE_VALUES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+
+
+@query("op10_license_scan", f"""
+WITH files AS (SELECT doc_id, text, coalesce(source, 'none') AS src, coalesce(lang, 'none') AS lg, doc_id % 16 = 0 AS is_licence,
+    (doc_id // 16) % 3 AS lvl, CAST((doc_id // 64) % 8 AS VARCHAR) AS shard FROM documents),
+placed AS (SELECT doc_id, text, is_licence, CASE WHEN is_licence AND lvl = 0 THEN '/' || src WHEN is_licence AND lvl = 1 THEN '/' || src || '/' || lg
+    ELSE '/' || src || '/' || lg || '/' || shard END AS dir FROM files),
+paths AS (SELECT *, dir || CASE WHEN is_licence THEN '/LICENSE' ELSE '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM placed),
+lines AS (SELECT doc_id, path, dir, is_licence, line FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM paths)
+  WHERE regexp_matches(line, '{licenses.HEADER}')),
+uniq AS (SELECT line, count(*) AS n FROM lines GROUP BY 1),
+tot AS (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS lines FROM uniq),
+tf AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest({_TERMS}) AS term FROM uniq) GROUP BY 1, 2, 3),
+df AS (SELECT term, CAST(sum(n) AS DOUBLE) AS df FROM tf GROUP BY 1),
+tmpl AS (SELECT * FROM (VALUES {_TEMPLATE_VALUES}) v(place, license, line)),
+ttf AS (SELECT place, license, term, count(*) AS tf FROM (SELECT place, license, unnest({_TERMS}) AS term FROM tmpl) GROUP BY 1, 2, 3),
+ours AS (SELECT line, term, tf * (ln((lines + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM tf LEFT JOIN df USING (term), tot),
+theirs AS (SELECT place, license, term, tf * (ln((lines + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM ttf LEFT JOIN df USING (term), tot),
+cos AS (SELECT o.line, place, license, round(sum(o.w * t.w) / (any_value(n1) * any_value(n2)), 9) AS cosine
+  FROM ours o JOIN theirs t USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS n1 FROM ours GROUP BY 1) a ON a.line = o.line
+  JOIN (SELECT place, sqrt(sum(w * w)) AS n2 FROM theirs GROUP BY 1) b USING (place) GROUP BY 1, 2, 3),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cosine DESC, place) AS k FROM cos WHERE cosine >= 0.5) WHERE k = 1),
+heads AS (SELECT l.*, b.place, b.license, b.cosine FROM lines l JOIN best b USING (line)),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, place) AS r FROM heads) WHERE r = 1),
+covers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, place) AS r FROM heads WHERE is_licence) WHERE r = 1),
+near AS (SELECT * FROM (SELECT p.doc_id, c.license, c.dir AS above, row_number() OVER (PARTITION BY p.doc_id ORDER BY length(c.dir) DESC) AS r
+  FROM paths p JOIN covers c ON p.dir = c.dir OR starts_with(p.dir, c.dir || '/')) WHERE r = 1)
+SELECT p.doc_id, p.path, o.license AS own_license, o.cosine AS own_cosine, n.license AS inherited_license, n.above AS inherited_from,
+  coalesce(o.license, n.license) AS license
+FROM paths p LEFT JOIN own o USING (doc_id) LEFT JOIN near n USING (doc_id)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: /source/lang/shard/id.txt; every sixteenth is a LICENSE file of one
+    of the three levels in turn."""
+    docs = table(spark, sf_dir, "documents")
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    number = F.floor(F.col("doc_id") / 16)
+    shard = F.pmod(F.floor(F.col("doc_id") / 64), F.lit(8)).cast("string")
+    is_licence = F.pmod("doc_id", F.lit(16)) == 0
+    level = F.pmod(number, F.lit(3))
+    full = F.concat_ws("/", F.lit(""), source, lang, shard)
+    folder = F.when(is_licence & (level == 0), F.concat_ws("/", F.lit(""), source)).when(
+        is_licence & (level == 1), F.concat_ws("/", F.lit(""), source, lang)).otherwise(full)
+    path = F.concat(folder, F.when(is_licence, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
