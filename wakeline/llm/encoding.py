@@ -34,7 +34,7 @@ _LOWER[65:91] += 32
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each begins; nulls are empty."""
-    texts = texts.fill_null("")
+    texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "")
     width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import licenses, line_frequency, order_minhash, packing, perspectives, schedule, token_counts, url_filter
+from wakeline.llm import licenses, line_frequency, order_minhash, packing, passages, perspectives, schedule, token_counts, url_filter
 from wakeline.llm.common import table
 
 QUERIES: dict = {}
@@ -183,3 +183,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_licence & (level == 1), F.concat_ws("/", F.lit(""), source, lang)).otherwise(full)
     path = F.concat(folder, F.when(is_licence, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))))
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+@query("op6_column_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(table(spark, sf_dir, "documents"))
