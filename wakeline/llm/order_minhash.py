@@ -1,14 +1,14 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text is cut into pieces (runs of non-space characters, twelve at most), three pieces in a
-row make a k-mer, and the k-th occurrence of a k-mer in the text is an element of its own.
+A text is cut into pieces (runs of non-space characters, twelve at most), a piece and the two
+after it make a k-mer, and the k-th occurrence of a k-mer in the text is an element of its own.
 Elements fall into 64 groups by hash.  Each group contributes its two minimal elements in
 the order in which they stand in the text, hashed as a tuple: moved text changes the tuples
 although the set of k-mers stays, so likeness follows edit distance rather than overlap.
 
 Likeness of two fingerprints is the share of equal tuples among the groups used by either.
 
-Defined cases: a null text is an empty one; a text of fewer than three pieces has one k-mer;
+Defined cases: a null text is an empty one; at the end of a text k-mers are shorter;
 texts without a piece have the empty fingerprint, which is like itself (1.0) and unlike all
 others; equal texts have equal fingerprints; repeated rows stay.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import bind
 
-KMER = 3
-PIECE = "\\S{1,12}"
+#: A piece and, looking ahead, the two after it: the k-mer that begins at the piece.
+KMER = "(?=(\\S{1,12}\\s*\\S{0,12}\\s*\\S{0,12}))\\S{1,12}"
 GROUP_BITS = 6
 #: Low bits of a packed long that hold a position; a string has fewer pieces than that.
 PLACE_BITS = 28
@@ -42,18 +42,23 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     b = lambda d, name, value: bind(d, f"_{name}", value)
     high = lambda x: x.bitwiseAND(F.lit(HIGH))
     group = lambda x: F.shiftrightunsigned(x, 64 - GROUP_BITS)
-    df = b(df, "pieces", F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)))
-    last = F.greatest(F.size("_pieces") - KMER, F.lit(0))
-    df = b(df, "kmers", F.when(F.size("_pieces") > 0, F.sort_array(F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: _packed(F.xxhash64(*(F.get(F.col("_pieces"), i + k) for k in range(KMER))), i)))).otherwise(F.array().cast("array<bigint>")))
-    # where runs of equal k-mers begin, then the number of each occurrence in its run
+    # arrays of longs are sorted in projections of their own, which compile to a primitive sort
+    df = b(df, "kmers", F.transform(
+        F.regexp_extract_all(F.col(text), F.lit(KMER), F.lit(1)), lambda k, i: _packed(F.xxhash64(k), i)))
+    df = df.withColumn("_kmers", F.sort_array("_kmers"))
+    # where runs of equal k-mers begin
     df = b(df, "runs", F.filter(F.transform("_kmers", lambda x, i: F.when(
         (i == 0) | (high(x) != high(F.get(F.col("_kmers"), i - 1))), i)), lambda i: i.isNotNull()))
-    df = b(df, "seen", F.flatten(F.transform("_runs", lambda s, j: F.sequence(
-        F.lit(0), F.coalesce(F.get(F.col("_runs"), j + 1), F.size("_kmers")) - s - 1))))
-    df = b(df, "elements", F.sort_array(F.transform("_kmers", lambda x, i: _packed(
-        F.xxhash64(high(x), F.get(F.col("_seen"), i)), x.bitwiseAND(F.lit(LOW))))))
+    # a first occurrence keeps the k-mer's hash; the n-th later one hashes it with n
+    end = lambda j: F.coalesce(F.get(F.col("_runs"), j + 1), F.size("_kmers"))
+    repeated = F.filter(F.transform("_runs", lambda s, j: F.when(end(j) > s + 1, F.struct(
+        s.alias("s"), (end(j) - s - 1).alias("more")))), lambda r: r.isNotNull())
+    later = F.flatten(F.transform(repeated, lambda r: F.transform(F.sequence(F.lit(1), r["more"]), lambda n: _packed(
+        F.xxhash64(high(F.get(F.col("_kmers"), r["s"])), n),
+        F.coalesce(F.get(F.col("_kmers"), r["s"] + n), F.lit(0).cast("bigint")).bitwiseAND(F.lit(LOW))))))
+    df = b(df, "elements", F.when(F.size("_runs") == F.size("_kmers"), F.col("_kmers")).otherwise(F.concat(
+        F.transform("_runs", lambda s: F.coalesce(F.get(F.col("_kmers"), s), F.lit(0).cast("bigint"))), later)))
+    df = df.withColumn("_elements", F.sort_array("_elements"))
     df = b(df, "firsts", F.filter(F.transform("_elements", lambda x, i: F.when(
         (i == 0) | (group(x) != group(F.get(F.col("_elements"), i - 1))),
         F.struct(x.alias("a"), F.get(F.col("_elements"), i + 1).alias("b")))), lambda s: s.isNotNull()))
@@ -67,7 +72,7 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
 
     df = b(df, "tuples", F.sort_array(F.transform("_firsts", tuple_hash)))
     return df.withColumn(out, F.col("_tuples")).drop(
-        "_pieces", "_kmers", "_runs", "_seen", "_elements", "_firsts", "_tuples")
+        "_kmers", "_runs", "_elements", "_firsts", "_tuples")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import licenses, line_frequency, order_minhash, packing, passages, perspectives, schedule, token_counts, url_filter
+from wakeline.llm import licenses, line_frequency, near_duplicates, order_minhash, packing, passages, perspectives, schedule, token_counts, url_filter
 from wakeline.llm.common import table
 
 QUERIES: dict = {}
@@ -188,3 +188,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_column_suffix_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_tensored_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.components(table(spark, sf_dir, "documents"), threshold=85)
