@@ -1,13 +1,55 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, packing.
+
+Each stage reads the table its predecessor wrote.  The first four return the columns of
+``documents``: documents without boilerplate lines that pass the quality rules, then one
+document of each group of near copies, then texts without passages seen before, then the
+documents as often as the mixture takes them (the last of a source cut at a word).  Packing
+returns the pieces of 4096-token sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from wakeline.llm import line_frequency, near_duplicates, packing, passages, schedule
+from wakeline.llm.common import kept
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_frequency.cleaned(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.without_copies(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return schedule.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("packing", pack),
+]
+
+#: Tokenizers, MinHash and the suffix structure are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
