@@ -32,6 +32,20 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+KNOWN = ("doc_id", "text", "source", "n_chars")
+
+
+def sealed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, source, n_chars`` and all other columns in one, so that no name clashes."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in KNOWN]
+    return docs.select(*KNOWN, F.struct(*(rest or [F.lit(0).alias("none")])).alias("_extra"))
+
+
+def unsealed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of the documents again, in their order."""
+    return df.select(*(F.col(c) if c in KNOWN else F.col("_extra").getField(c).alias(c) for c in columns))
+
+
 def kept(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 

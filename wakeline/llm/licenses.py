@@ -100,7 +100,7 @@ def ancestors(folder: Column) -> Column:
 
 def scan(files: DataFrame) -> DataFrame:
     """Own, inherited and resulting licence of every file (``doc_id, path, text``)."""
-    files = files.withColumns({"dir": directory(F.col("path")), "name": F.regexp_extract(F.coalesce("path", F.lit("")), "[^/]*$", 0)})
+    files = files.select("doc_id", "path", "text").withColumns({"dir": directory(F.col("path")), "name": F.regexp_extract(F.coalesce("path", F.lit("")), "[^/]*$", 0)})
     lines = files.select("doc_id", "path", "dir", "name", F.explode(F.filter(
         F.split("text", "\n"), lambda x: x.rlike(HEADER))).alias("line"))
     lines = kept(lines, "headers")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import SPACES, WORD, bind, kept, ordered_key, words
+from wakeline.llm.common import SPACES, WORD, bind, kept, ordered_key, sealed, unsealed, words
 
 LINE_SHARE = 0.10
 LEAST_LIMIT = 10
@@ -104,11 +104,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their boilerplate lines; others are dropped."""
     decisions = verdicts(docs).filter("kept").select("row_key", "removed").dropDuplicates(["row_key"])
-    held = docs.withColumn("row_key", row_key()).join(decisions, "row_key")
+    held = sealed(docs).withColumn("row_key", row_key()).join(decisions, "row_key")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.coalesce(
         line.rlike(WORD) & F.array_contains("removed", F.xxhash64(normalised(line))), F.lit(False))), "\n")
     changed = F.col("removed").isNotNull()
-    return held.withColumns({
+    return unsealed(held.withColumns({
         "n_chars": F.when(changed, F.length(left).cast("bigint")).otherwise(F.col("n_chars")),
         "text": F.when(changed, left).otherwise(F.col("text")),
-    }).select(*docs.columns)
+    }), docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import kept
+from wakeline.llm.common import kept, sealed, unsealed
 from wakeline.llm.encoding import _LOWER, _SPACE, flat, runs
 from wakeline.session import ship
 
@@ -307,6 +307,6 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
 def without_copies(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The documents of least id in their components; rows that share a doc_id leave one."""
     chosen = components(docs, threshold).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    held = docs.join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    held = sealed(docs).join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
     one = held.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return one.filter("_k = 1 OR doc_id IS NULL").select(*docs.columns)
+    return unsealed(one.filter("_k = 1 OR doc_id IS NULL"), docs.columns)

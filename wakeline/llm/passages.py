@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.column_bwt import column_wise
-from wakeline.llm.common import kept, running_start
+from wakeline.llm.common import kept, running_start, sealed, unsealed
 from wakeline.llm.encoding import flat, runs
 from wakeline.session import ship
 
@@ -183,18 +183,21 @@ def _copies(doc, start, windows) -> pa.RecordBatch:
     return _rows(1, _mix(doc.astype(np.int64).view(np.uint64)).view(np.int64), start, doc, start, windows)
 
 
-def _hot_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with many different pieces in this task, and last the number of all pieces."""
-    keys, total = [], 0
-    nothing = np.zeros(0, np.int64)
-    for batch in batches:
-        first, _ = _settled(_batch_pieces(batch, nothing))
-        keys.append(first["key"])
-        total += len(first["key"])
-    key, n = np.unique(np.concatenate([nothing, *keys]), return_counts=True)
-    key, n = key[n >= HOT_IN_TASK], n[n >= HOT_IN_TASK]
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(key, 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(key), np.int64), total))],
-                                     ["key", "n", "total"])
+def _hot_anchors(least: int):
+    """Anchors with ``least`` different pieces in a task, and last the number of all pieces."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, total = [], 0
+        nothing = np.zeros(0, np.int64)
+        for batch in batches:
+            first, _ = _settled(_batch_pieces(batch, nothing))
+            keys.append(first["key"])
+            total += len(first["key"])
+        key, n = np.unique(np.concatenate([nothing, *keys]), return_counts=True)
+        key, n = key[n >= least], n[n >= least]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(key, 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(key), np.int64), total))],
+            ["key", "n", "total"])
+    return count
 
 
 def _first_settling(hot: np.ndarray):
@@ -317,17 +320,18 @@ def unique_ids(docs: DataFrame) -> DataFrame:
                 .select(F.col("number").alias("doc_id"), "text", "given"), "numbered")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, hot_in_task: int = HOT_IN_TASK, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """``doc_id, spans``: stretches of window starts that also start earlier.
 
-    ``docs`` has unique ids (up to equal rows) and texts without nulls.
+    ``docs`` has unique ids (up to equal rows) and texts without nulls.  The two limits
+    decide which anchors are cut into windows, not what is found.
     """
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    counts = texts.mapInArrow(_hot_anchors, "key bigint, n bigint, total bigint").groupBy("key").agg(
+    counts = texts.mapInArrow(_hot_anchors(hot_in_task), "key bigint, n bigint, total bigint").groupBy("key").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"))
     total = counts.agg(F.sum("total")).first()[0] or 0
-    least = max(HOT_PIECES, total // MOST_HOT)
+    least = max(hot_pieces, total // MOST_HOT)
     hot = np.asarray([r.key for r in counts.filter(F.col("n") >= least).select("key").collect()], np.int64)
     ordered = texts.mapInArrow(_first_settling(hot), _PIECE).repartition("key").sortWithinPartitions("key")
     settled = kept(ordered.mapInArrow(_second_settling, _PIECE), "pieces")
@@ -339,7 +343,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return copies.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
-def _covered(spans, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _covered(spans: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """Removed runs of a text: begins and ends."""
     start = spans.field("start").to_numpy(zero_copy_only=False)
     stop = start + spans.field("windows").to_numpy(zero_copy_only=False) + SPAN - 1
@@ -358,11 +362,11 @@ def _left(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
         for r in range(len(batch)):
             text = texts[r].as_buffer().to_pybytes() if texts[r].is_valid else b""
             if spans[r].is_valid and len(spans[r]):
-                begin, end = _covered(spans[r].values, len(text))
-                keep = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True))
-                results.append((len(text), len(text) - len(keep), len(begin), keep))
+                begin, end = _covered(spans[r].values)
+                keep = [text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True)]
+                results.append((len(text), len(text) - sum(map(len, keep)), len(begin), keep))
             else:
-                results.append((len(text), 0, 0, text))
+                results.append((len(text), 0, 0, [text]))
         yield emit(batch, results)
 
 
@@ -370,15 +374,15 @@ def _digest(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
     n, removed, spans, keep = zip(*results, strict=True) if results else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
         [batch.column("given"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-         pa.array([hashlib.sha256(k).hexdigest() for k in keep], pa.string())],
+         pa.array([hashlib.sha256(b"".join(k)).hexdigest() for k in keep], pa.string())],
         ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, **limits: int) -> DataFrame:
     """What is left of every document: sizes and hash of the remaining bytes."""
     rows = unique_ids(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(repeated_windows(rows), "doc_id", "left").mapInArrow(
+    return rows.join(repeated_windows(rows, **limits), "doc_id", "left").mapInArrow(
         lambda batches: _left(batches, _digest), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -393,7 +397,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
-            texts = [k.decode("utf-8", "ignore") if removed else None for _, removed, _, k in results]
+            texts = ["".join(part.decode("utf-8", "ignore") for part in k) if removed else None for _, removed, _, k in results]
             return pa.RecordBatch.from_arrays([batch.column("given"), batch.column("text"), pa.array(texts, pa.string())], ["given", "text", "left"])
         yield from _left(batches, emit)
 
@@ -401,9 +405,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     mark = lambda i, t: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(t), F.lit("")))
     changed = changed.select(mark("given", "text").alias("_mark"), "left").filter("left IS NOT NULL")
     one = changed.withColumn("_k", F.row_number().over(Window.partitionBy("_mark").orderBy("left"))).filter("_k = 1").drop("_k")
-    out = docs.withColumn("_mark", mark("doc_id", "text")).join(one, "_mark", "left")
+    out = sealed(docs).withColumn("_mark", mark("doc_id", "text")).join(one, "_mark", "left")
     touched = F.col("left").isNotNull()
-    return out.filter(~touched | (F.length("left") > 0)).withColumns({
+    return unsealed(out.filter(~touched | (F.length("left") > 0)).withColumns({
         "n_chars": F.when(touched, F.length("left").cast("bigint")).otherwise(F.col("n_chars")),
         "text": F.when(touched, F.col("left")).otherwise(F.col("text")),
-    }).select(*docs.columns)
+    }), docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import SPACES, WORD, kept, ordered_key, running_start, words
+from wakeline.llm.common import SPACES, WORD, kept, ordered_key, running_start, sealed, unsealed, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -158,14 +158,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # row numbers of a second scan may differ, so documents are found again by their content
     per_mark = rows.join(uses, "row").groupBy(_mark(F.col("queue"), F.col("text_hash")).alias("mark"), "size", "upto").agg(
         F.count(F.lit(1)).alias("times"))
-    marked = docs.withColumn("mark", _mark(ordered_key(F.col("source")), F.xxhash64(F.coalesce("text", F.lit("")))))
+    marked = sealed(docs).withColumn("mark", _mark(ordered_key(F.col("source")), F.xxhash64(F.coalesce("text", F.lit("")))))
     # equal rows have one mark, whose uses are those of all of them
     one = marked.withColumn("_k", F.row_number().over(Window.partitionBy("mark").orderBy("n_chars"))).filter("_k = 1")
     out = one.join(per_mark, "mark").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     cut = F.col("upto") < F.col("size")
     text = F.when(cut, _first_words(F.col("text"), F.col("upto").cast("int"))).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn(
-        "n_chars", F.when(cut, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return unsealed(out.withColumn("text", text).withColumn(
+        "n_chars", F.when(cut, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))), docs.columns)
 
 
 def _mark(queue: Column, text_hash: Column) -> Column:
