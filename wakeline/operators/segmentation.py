@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.operators.slices import BY_TIME, Stitch, Track, running_sum, stitch
@@ -91,11 +91,19 @@ def with_trip_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def edge_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
-    """The whole first or last row per key as an aggregate, so it combines before the shuffle."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*order, *rest)
-    pick = F.max(row) if last else F.min(row)
-    return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    """The whole first or last row per key; null order values come first.
+
+    Spark keeps one candidate per key and task before the shuffle (window group limit).
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order and _sortable(df, c)]
+    by = [F.col(c).desc_nulls_last() if last else F.col(c).asc_nulls_first() for c in (*order, *rest)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def _sortable(df: DataFrame, column: str) -> bool:
+    kind = df.schema[column].dataType.simpleString()
+    return "map<" not in kind and "variant" not in kind
 
 
 def first_rows(df: DataFrame, keys=("vessel_id_int",), order=("timestamp_sec", "global_lsn")) -> DataFrame:

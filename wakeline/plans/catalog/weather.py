@@ -77,6 +77,15 @@ def j7(spark, sf):
     return _weather(mesh.interpolate(views.tracks(spark, sf), views.mesh(spark, sf)))
 
 
+@query("j7_newest_node_version", _weather_sql())
+def j7_versions(spark, sf):
+    """Every node comes twice; the older version is far off."""
+    nodes = views.mesh(spark, sf)
+    old = nodes.withColumns({"TMP": F.col("TMP") + 500.0, "UGRD": F.lit(99.0), "version_id": F.lit(1)})
+    both = nodes.withColumn("version_id", F.lit(2)).unionByName(old)
+    return _weather(mesh.interpolate(views.tracks(spark, sf), both))
+
+
 @query("j8_causal_weather", _weather_sql(causal=True))
 def j8(spark, sf):
     return _weather(mesh.interpolate(views.tracks(spark, sf), views.mesh(spark, sf), run_mode="causal"))
