@@ -153,12 +153,3 @@ def l2_normalised(vector: Column) -> Column:
     norm = l2_norm(vector)
     divisor = F.when(norm > 1e-8, norm).otherwise(F.lit(1.0))
     return F.transform(vector, lambda x: x.cast("double") / divisor)
-
-
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - dot(l2_normalised(a), l2_normalised(b))

@@ -127,8 +127,3 @@ def prototype_drift(df: DataFrame, alpha: float = ALPHA, buffer: int = BUFFER, m
     again = _run(whole, _folder(alpha, buffer, min_seen, piece_rows, settle))
     sound = folded.join(broken, "vessel_id_int", "left_anti")
     return sound.unionByName(again).select(*IDS, "drift", "threshold", "outlier")
-
-
-def scaled_drift(drift: Column) -> Column:
-    """Drift against a full-scale value of 0.20."""
-    return F.least(F.greatest(drift / F.lit(0.20), F.lit(0.0)), F.lit(1.0))

@@ -14,7 +14,7 @@ from wakeline.registry import FRONTIER_PERCENTILES, SCENARIOS, TIERS, inline
 
 CALIBRATION_PERCENTILE = 0.995
 CHANNELS = ("recon", "ann")
-SCORE_SLICES = 64
+ROWS_PER_RANGE = 1_000_000
 
 
 def aggregated(df: DataFrame, keys: Sequence[str], score: str, mean_weight: float = 0.7, peak: float = 0.95,
@@ -82,14 +82,15 @@ def confusion(df: DataFrame, label: str, predicted: Column, keys: Sequence[str]
     return counts.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def score_curve(df: DataFrame, label: str, score: str, slices: int = SCORE_SLICES) -> DataFrame:
+def score_curve(df: DataFrame, label: str, score: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Distinct scores with their positives, negatives and the counts at or above them.
 
-    The scores are cut into ranges of similar size (approximate quantiles, a few
-    dozen numbers on the driver); counts run inside a range and the small table
-    of range totals shifts them, so no task sorts all scores.
+    The scores are cut into ranges of about ``rows_per_range`` rows (approximate
+    quantiles, a number a range on the driver); counts run inside a range and the
+    small table of range totals shifts them, so no task sorts all scores.
     """
     rows = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("score"))
+    slices = -(-rows.count() // rows_per_range)
     at = [i / slices for i in range(1, max(slices, 2))]
     cuts = sorted(set(rows.approxQuantile("score", at, 0.25 / slices))) or [0.0]
     ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="score", outputCol="_slice")
@@ -136,7 +137,12 @@ def best_f1(curve: DataFrame, points: int = 200, low: float = 1.0, high: float =
     share = lambda j: (F.lit(low) + F.lit(high - low) * j / F.lit(points - 1)) / F.lit(100.0)
     rank = lambda j: share(j) * (total - 1)
     mine = lambda k: (k >= below) & (k < below + F.col("pos") + F.col("neg"))
-    js = F.sequence(F.lit(0), F.lit(points - 1))
+    # only points whose rank falls here can be mine; one more on either side for rounding
+    step = (points - 1) / (high - low)
+    point = lambda r: (r / F.greatest(total - 1, F.lit(1)) * 100.0 - F.lit(low)) * F.lit(step)
+    least = F.greatest(F.floor(point(below - 1)) - 1, F.lit(0)).cast("int")
+    most = F.least(F.ceil(point(below + F.col("pos") + F.col("neg"))) + 1, F.lit(points - 1)).cast("int")
+    js = F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
     at = F.filter(js, lambda j: mine(F.floor(rank(j))) | mine(F.floor(rank(j)) + 1))
     seen = curve.withColumn("j", F.explode(at)).withColumn("_k", F.floor(rank(F.col("j"))))
     seen = seen.withColumn("_frac", rank(F.col("j")) - F.col("_k"))

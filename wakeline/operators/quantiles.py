@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
+#: Values inside a bracket are ranked in so many strips at most, shifted by the strips' totals.
+STRIPS = 1_024
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
@@ -57,14 +59,24 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
         tagged = rows.withColumn("_b", brackets.select(F.struct("n", "_want")).scalar()).select(
             "_x", "_b.n", "_b._want")
     reach = F.filter("_want", lambda w: F.col("_x") <= w["hi"])
+    # a bracket is cut into even strips of values; -1 holds what lies below it
+    strip = F.when(F.col("_x") < F.col("_w.lo"), F.lit(-1)).otherwise(F.coalesce(F.floor(
+        F.try_divide(F.col("_x") - F.col("_w.lo"), F.col("_w.hi") - F.col("_w.lo")) * STRIPS), F.lit(0))).cast("int")
     counted = (
         tagged.withColumn("_w", F.explode(reach))
-        .groupBy(*groups, "n", "_w.i", "_w.k", "_w.frac",
+        .groupBy(*groups, "n", "_w.i", "_w.k", "_w.frac", strip.alias("_strip"),
                  F.when(F.col("_x") >= F.col("_w.lo"), F.col("_x")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = Window.partitionBy(*groups, "i").orderBy(F.col("_v").asc_nulls_first())
+    strips = counted.groupBy(*groups, "i", "_strip").agg(F.sum("_c").alias("_in_strip"))
+    below = Window.partitionBy(*groups, "i").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = strips.withColumn("_below", F.coalesce(F.sum("_in_strip").over(below), F.lit(0))).drop("_in_strip")
+    upto = Window.partitionBy(*groups, "i", "_strip").orderBy(F.col("_v").asc_nulls_first())
     ranked = counted.withColumn("_to", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = [*groups, "i", "_strip"]
+    strips = strips.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "_below")
+    ranked = ranked.join(strips, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]).withColumn(
+        "_to", F.col("_to") + F.col("_below"))
     holds = lambda k: (F.col("_to") - F.col("_c") <= k) & (k < F.col("_to"))
     picked = ranked.groupBy(*groups, "n", "i", "frac").agg(
         F.max(F.when(holds(F.col("k")), F.col("_v"))).alias("_a"),

@@ -78,9 +78,9 @@ def x3(spark, sf):
     return scorers.reconstruction_score(scorers.reconstruction_cells(wins, scored), ["window_id"])
 
 
-@query("x4_enrichment_chain", """SELECT event_id, round(value*2, 4) AS value, 'late' AS tag FROM events WHERE value > 10""")
+@query("x4_enrichment_chain", """SELECT event_id, round(value*2, 4) AS value, CASE WHEN round(value*2, 4) > 20 THEN 'late' ELSE 'early' END AS tag FROM events""")
 def x4(spark, sf):
     double = lambda df: df.withColumn("value", F.round(F.col("value") * 2, 4))
-    tag = lambda df: df.withColumn("tag", F.lit("late"))
-    ev = views.table(spark, sf, "events").select("event_id", "value").where(F.col("value") > 10)
+    tag = lambda df: df.withColumn("tag", F.when(F.col("value") > 20, "late").otherwise("early"))
+    ev = views.table(spark, sf, "events").select("event_id", "value")
     return ev.transform(double).transform(tag)
