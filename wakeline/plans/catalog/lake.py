@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wakeline.plans import views
+from wakeline.plans import ingest, views
 from wakeline.plans.catalog.base import query, r6, with_blocks
-from wakeline.plans.catalog.weather import MESH
+from wakeline.plans.catalog.motion import feature_sql
+from wakeline.plans.catalog.weather import MESH, _cell
 from wakeline.session import shared_folder
 from wakeline.sources import lake, positions
 
@@ -145,3 +146,30 @@ def a33(spark, sf):
 WHERE year(o_orderdate) < 1997 GROUP BY 1, 2""")
 def a34(spark, sf):
     return lake.partition_inventory(lake.read_lake(spark, _lake(spark, sf), lake.up_to(1996, 12)))
+
+
+# Whole weather steps, so that the mesh keeps its slots; the times gain the ten digits of epoch seconds.
+SHIFT = 70_000 * views.MESH_STEP_SEC
+_ARRIVAL = """row_number() OVER (ORDER BY epoch_us(ts) // 30000000, user_id, 23.1::DOUBLE + ((event_id*7919) % 9000)::DOUBLE/10000.0::DOUBLE,
+  37.5::DOUBLE + ((event_id*104729) % 6000)::DOUBLE/10000.0::DOUBLE) AS global_lsn"""
+
+
+@query("ingest_messages_to_lake", feature_sql(f"""SELECT rel.global_lsn, mmsi_str, timestamp_sec + {SHIFT} AS timestamp_sec,
+  year(make_timestamp((timestamp_sec + {SHIFT})*1000000))::INT AS year, month(make_timestamp((timestamp_sec + {SHIFT})*1000000))::INT AS month,
+  trip_id, is_static, vessel_superclass_id::INT AS vessel_superclass_id, r6(jerk) AS jerk, r6(geodetic_distance_nm) AS geodetic_distance_nm,
+  r6(reliability_score) AS reliability_score, r6(temperature) AS temperature, r6(sqrt(u*u+v*v)) AS wind_speed, out_of_mesh_flag
+FROM rel JOIN (SELECT * EXCLUDE (course_raw) FROM wsum) w USING (global_lsn)""",
+    extra=[MESH, *_cell(False)]).replace("event_id AS global_lsn", _ARRIVAL, 1))
+def to_lake(spark, sf):
+    """CSV messages, ship table and weather nodes through the whole ingestion; the lake is read back."""
+    folder, path = shared_folder(spark, "messages"), shared_folder(spark, "lake")
+    raw = views.raw_tracks(spark, sf)
+    _raw_messages(spark, sf).withColumn("timestamp", (F.col("timestamp").cast("bigint") + SHIFT).cast("string")).write.csv(folder)
+    ships = raw.select("mmsi_str", "shiptype").distinct()
+    nodes = views.mesh(spark, sf).withColumn("timestamp_", F.col("timestamp_") + SHIFT)
+    ingest.to_lake(positions.read_mixed_positions(spark, folder), ships, nodes, path, start=1)
+    names = ["jerk", "geodetic_distance_nm", "reliability_score", "temperature", "wind_speed"]
+    return lake.read_lake(spark, path).select(
+        "global_lsn", "mmsi_str", "timestamp_sec", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"),
+        "trip_id", "is_static", F.col("vessel_superclass_id").cast("int").alias("vessel_superclass_id"), "out_of_mesh_flag",
+        *[r6(F.col(n)).alias(n) for n in names])

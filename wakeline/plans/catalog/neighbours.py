@@ -118,4 +118,14 @@ def a30(spark, sf):
 
 @query("a31_effective_rank")
 def a31(spark, sf):
-    return neighbours.effective_rank(views.vectors(spark, sf))
+    return neighbours.effective_rank(views.vectors(spark, sf)).select("n", "effective_rank")
+
+
+@query("a31_scatter_moments", f"""WITH {V}, u AS (SELECT id, unnest(range(64)) AS dim, unnest(e)/nrm AS x FROM v),
+c AS (SELECT id, dim, x - avg(x) OVER (PARTITION BY dim) AS x FROM u),
+g AS (SELECT a.dim AS i, b.dim AS j, sum(a.x*b.x) AS s FROM c a JOIN c b USING (id) GROUP BY 1, 2),
+m AS (SELECT sum(CASE WHEN i = j THEN s END) AS t, sum(s*s) AS f FROM g)
+SELECT (SELECT count(*) FROM v) AS n, r6(t) AS trace, r6(f) AS frobenius, r6(t*t/f) AS order_two_rank FROM m""")
+def a31_moments(spark, sf):
+    out = neighbours.effective_rank(views.vectors(spark, sf))
+    return out.select("n", *[r6(F.col(c)).alias(c) for c in ("trace", "frobenius", "order_two_rank")])

@@ -78,6 +78,28 @@ def x3(spark, sf):
     return scorers.reconstruction_score(scorers.reconstruction_cells(wins, scored), ["window_id"])
 
 
+# Two fixed axes over the first four entries: SQL can repeat projection, norm, back-projection and error.
+AXES_TABLE = [(0.5, 0.5), (0.5, -0.5), (0.5, 0.5), (0.5, -0.5)]
+
+
+@query("x3_fixed_projection", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT vec_id, v, 0.5*v[1] + 0.5*v[2] + 0.5*v[3] + 0.5*v[4] AS p0, 0.5*v[1] - 0.5*v[2] + 0.5*v[3] - 0.5*v[4] AS p1 FROM e)
+SELECT CAST(vec_id AS VARCHAR) AS window_id, r6(p0/greatest(sqrt(p0*p0+p1*p1), 1e-8)) AS first, r6(p1/greatest(sqrt(p0*p0+p1*p1), 1e-8)) AS second,
+  r6((pow(v[1] - 0.5*(p0+p1), 2) + pow(v[2] - 0.5*(p0-p1), 2) + pow(v[3] - 0.5*(p0+p1), 2) + pow(v[4] - 0.5*(p0-p1), 2))/4) AS mse FROM p""")
+def x3_fixed(spark, sf):
+    """The linear scorer with axes from a table instead of a fit."""
+    import numpy as np
+
+    rows = views.vectors(spark, sf).select(
+        F.col("embedding_id").cast("string").alias("window_id"), F.slice("embedding", 1, 4).alias("vector"))
+    scorer = scorers.linear_scorer(np.zeros(4), np.ones(4), np.asarray(AXES_TABLE))
+    both = rows.join(scorers.score_windows(rows, scorer), "window_id")
+    squares = F.zip_with("vector", "reconstruction", lambda a, b: (a - b) * (a - b))
+    mse = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x) / F.size("vector")
+    return both.select("window_id", r6(F.get("embedding", F.lit(0))).alias("first"), r6(F.get("embedding", F.lit(1))).alias("second"),
+                       r6(mse).alias("mse"))
+
+
 @query("x4_enrichment_chain", """SELECT event_id, round(value*2, 4) AS value, CASE WHEN round(value*2, 4) > 20 THEN 'late' ELSE 'early' END AS tag FROM events""")
 def x4(spark, sf):
     double = lambda df: df.withColumn("value", F.round(F.col("value") * 2, 4))
