@@ -1,11 +1,10 @@
 """Running behaviour prototype per vessel and its drift score.
 
-The prototype is an order-dependent fold: every step renormalises, so no partial
-sums exist.  A long history is still split.  Each piece of a vessel first replays
-the rows just before it, starting cold; the influence of the cold start fades by
-a factor of about 1 - alpha per row.  Where the prototype a piece starts from
-equals the one its predecessor ended with, the pieces form the exact chain.  A
-vessel for which that fails anywhere is folded again from its first row.
+The prototype is an order-dependent fold: every step renormalises, so no partial sums exist.
+A history is cut into pieces of ``piece_rows``, and the pieces are folded in passes over all
+vessels: a pass takes one piece of every vessel that still has rows and begins where the
+state stored by the pass before ends.  The chain is exact at any piece size, a task holds no
+more than a piece, and a lost pass is repeated from the stored state.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators.slices import Track
@@ -25,11 +24,12 @@ from wakeline.session import stored
 
 ALPHA, BASE_THRESHOLD, PERCENTILE = 0.1, 0.45, 0.95
 BUFFER, MIN_SEEN = 10_000, 1_000
-PIECE_ROWS, SETTLE_ROWS, SEAM_TOLERANCE = 200_000, 512, 1e-12
+PIECE_ROWS = 200_000
 BY_EMBEDDING = Track(order=("timestamp_sec", "embedding_id"))
 IDS = ["embedding_id", "vessel_id_int", "timestamp_sec"]
-OUT = ("embedding_id bigint, vessel_id_int bigint, timestamp_sec bigint, piece bigint, drift double, "
-       "threshold double, outlier int, start array<double>, finish array<double>")
+STATE = ["prototype", "recent"]
+OUT = ("embedding_id bigint, vessel_id_int bigint, timestamp_sec bigint, drift double, threshold double, outlier int, "
+       "prototype array<double>, recent array<double>")
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -65,65 +65,83 @@ class RollingPercentile:
         return low if at == k else low + (self.ordered[k + 1] - low) * (at - k)
 
 
-def _folder(alpha: float, buffer: int, min_seen: int, piece_rows: int, settle: int):
-    """Fold sorted (vessel, piece, row_no) rows; warm rows move the state but are not put out."""
+class Chain:
+    """One vessel's prototype and drift buffer; ``take`` returns drift, threshold and outlier flag."""
+
+    def __init__(self, alpha: float, buffer: int, min_seen: int, prototype=None, recent=()):
+        self.alpha, self.min_seen, self.seen = alpha, min_seen, RollingPercentile(buffer, PERCENTILE)
+        self.prototype = None if prototype is None else np.asarray(prototype, float)
+        for value in recent:
+            self.seen.add(value)
+
+    def take(self, vector) -> tuple[float, float, int]:
+        before = self.prototype
+        drift, self.prototype = step(before, np.asarray(vector, float), self.alpha)
+        if before is not None:
+            self.seen.add(drift)
+        threshold = self.seen.value() if len(self.seen.recent) >= max(self.min_seen, 1) else BASE_THRESHOLD
+        return drift, threshold, int(before is not None and drift > threshold)
+
+    def state(self) -> tuple[list, list]:
+        return [float(x) for x in self.prototype], list(self.seen.recent)
+
+
+def _folder(alpha: float, buffer: int, min_seen: int):
+    """Fold rows sorted by vessel and row number.  A vessel's stored state comes first, as row -1."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, prototype, seen, threshold, warmed = None, None, None, BASE_THRESHOLD, 0
-        for pdf in batches:
-            rows = []
-            columns = (pdf[c].to_numpy() for c in ("vessel_id_int", "piece", "row_no", "warm"))
-            for i, (vessel, piece, row_no, warm, vector) in enumerate(zip(*columns, pdf["embedding"])):
-                if (vessel, piece) != at:
-                    at, prototype, threshold, warmed = (vessel, piece), None, BASE_THRESHOLD, 0
-                    seen = RollingPercentile(buffer, PERCENTILE)
-                before = prototype
-                drift, prototype = step(prototype, np.asarray(vector, float), alpha)
-                warmed += int(warm)
-                if before is not None and (not warm or warmed > settle):
-                    seen.add(drift)
-                    if len(seen.recent) >= min_seen:
-                        threshold = seen.value()
-                if not warm:
-                    first, last = row_no % piece_rows == 0 and before is not None, row_no % piece_rows == piece_rows - 1
-                    rows.append((i, drift, threshold, int(before is not None and drift > threshold),
-                                 before if first else None, prototype if last else None))
-            kept = pdf.iloc[[r[0] for r in rows]][[*IDS, "piece"]]
-            yield kept.assign(
-                drift=[r[1] for r in rows], threshold=[r[2] for r in rows], outlier=[r[3] for r in rows],
-                start=[r[4] for r in rows], finish=[r[5] for r in rows])
+        vessel_at, chain = None, None
 
-    return fold
+        def closing() -> pd.DataFrame:
+            prototype, recent = chain.state()
+            return pd.DataFrame({
+                "embedding_id": pd.array([None], "Int64"), "vessel_id_int": [vessel_at], "timestamp_sec": pd.array([None], "Int64"),
+                "drift": [None], "threshold": [None], "outlier": pd.array([None], "Int32"), "prototype": [prototype], "recent": [recent]})
 
+        for pdf in batches:
+            out = []
+            for i, (vessel, row_no, vector) in enumerate(zip(pdf["vessel_id_int"], pdf["row_no"], pdf["embedding"])):
+                if vessel != vessel_at:
+                    if chain is not None:
+                        yield closing()
+                    vessel_at, chain = vessel, Chain(alpha, buffer, min_seen)
+                if row_no < 0:
+                    chain = Chain(alpha, buffer, min_seen, pdf["prototype"].iloc[i], pdf["recent"].iloc[i])
+                else:
+                    out.append((i, *chain.take(vector)))
+            if out:
+                at, drift, threshold, outlier = zip(*out)
+                yield pdf.iloc[list(at)][IDS].assign(
+                    drift=drift, threshold=threshold, outlier=outlier, prototype=None, recent=None)
+        if chain is not None:
+            yield closing()
 
-def _run(pieces: DataFrame, fold) -> DataFrame:
-    keys = ["vessel_id_int", "piece"]
-    return pieces.repartition(*keys).sortWithinPartitions(*keys, "row_no").mapInPandas(fold, OUT)
+    return fold
 
 
 def prototype_drift(df: DataFrame, alpha: float = ALPHA, buffer: int = BUFFER, min_seen: int = MIN_SEEN,
-                    piece_rows: int = PIECE_ROWS, settle: int = SETTLE_ROWS) -> DataFrame:
+                    piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Drift of each embedding from its vessel's prototype, threshold and outlier flag.
 
     The threshold is the 95th percentile of the vessel's last ``buffer`` drifts
     once ``min_seen`` were seen, and a constant before.
     """
-    lead = buffer + settle  # enough rows to settle and then refill the drift buffer
-    if lead >= piece_rows:
-        raise ValueError("a piece must be longer than its warm-up")
-    rows = numbered(df.select(*IDS, "embedding"), BY_EMBEDDING)
-    own = F.floor(F.col("row_no") / F.lit(piece_rows)).cast("bigint")
-    shared = F.pmod("row_no", F.lit(piece_rows)) >= piece_rows - lead
-    pieces = rows.withColumn("piece", F.explode(F.when(shared, F.array(own, own + 1)).otherwise(F.array(own))))
-    pieces = pieces.withColumn("warm", F.col("piece") != own)
-    folded = stored(_run(pieces, _folder(alpha, buffer, min_seen, piece_rows, settle)), "drift")
-
-    ends = folded.where(F.col("finish").isNotNull()).select("vessel_id_int", (F.col("piece") + 1).alias("piece"), "finish")
-    starts = folded.where(F.col("start").isNotNull()).select("vessel_id_int", "piece", "start")
-    gap = F.aggregate(F.zip_with("start", "finish", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda m, x: F.greatest(m, x))
-    broken = starts.join(ends, ["vessel_id_int", "piece"]).where(gap > SEAM_TOLERANCE).select("vessel_id_int").distinct()
-    whole = rows.join(broken, "vessel_id_int", "left_semi").withColumns(
-        {"piece": F.lit(0).cast("bigint"), "warm": F.lit(False)})
-    again = _run(whole, _folder(alpha, buffer, min_seen, piece_rows, settle))
-    sound = folded.join(broken, "vessel_id_int", "left_anti")
-    return sound.unionByName(again).select(*IDS, "drift", "threshold", "outlier")
+    rows = stored(numbered(df.select(*IDS, "embedding"), BY_EMBEDDING), "drift-rows")
+    last = rows.agg(F.max("row_no")).first()[0]
+    empty = {c: F.lit(None).cast("array<double>") for c in STATE}
+    fold, state, folded = _folder(alpha, buffer, min_seen), None, []
+    for piece in range(1 if last is None else last // piece_rows + 1):
+        lo = piece * piece_rows
+        chunk = rows.where(F.col("row_no").between(lo, lo + piece_rows - 1)).withColumns(empty)
+        if state is not None:
+            going_on = chunk.select("vessel_id_int").distinct()
+            known = state.join(going_on, "vessel_id_int", "left_semi").withColumn("row_no", F.lit(-1).cast("bigint"))
+            chunk = chunk.unionByName(known, allowMissingColumns=True)
+        ordered = chunk.repartition("vessel_id_int").sortWithinPartitions("vessel_id_int", "row_no")
+        done = stored(ordered.mapInPandas(fold, OUT), "drift")
+        folded.append(done.where(F.col("embedding_id").isNotNull()))
+        state = done.where(F.col("prototype").isNotNull()).select("vessel_id_int", *STATE)
+    out = folded[0]
+    for more in folded[1:]:
+        out = out.unionByName(more)
+    return out.select(*IDS, "drift", "threshold", "outlier")

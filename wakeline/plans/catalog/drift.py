@@ -24,10 +24,12 @@ def w22(spark, sf):
 
 
 # a small buffer, so that the rolling percentile is reached within a vessel's few vectors
-@query("w23_rolling_threshold", FOLD + """, d AS (SELECT *, count(*) OVER w AS seen, quantile_cont(drift, 0.95) OVER w AS q FROM f WHERE n > 1
+ROLLING = FOLD + """, d AS (SELECT *, count(*) OVER w AS seen, quantile_cont(drift, 0.95) OVER w AS q FROM f WHERE n > 1
   WINDOW w AS (PARTITION BY vessel ORDER BY n ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
-s AS (SELECT *, row_number() OVER (PARTITION BY vessel ORDER BY n) AS m FROM d)
-SELECT id AS embedding_id, r6(CASE WHEN m >= 4 THEN q ELSE 0.45 END) AS threshold,
+s AS (SELECT *, row_number() OVER (PARTITION BY vessel ORDER BY n) AS m FROM d)"""
+
+
+@query("w23_rolling_threshold", ROLLING + """ SELECT id AS embedding_id, r6(CASE WHEN m >= 4 THEN q ELSE 0.45 END) AS threshold,
   (drift > CASE WHEN m >= 4 THEN q ELSE 0.45 END)::INT AS outlier FROM s
 UNION ALL SELECT id, r6(0.45::DOUBLE), 0 FROM f WHERE n = 1""")
 def w23(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.plans import views
 from wakeline.plans.catalog.base import TRACKS, TRIPS, query, r6, with_blocks
-from wakeline.plans.catalog.drift import FOLD
+from wakeline.plans.catalog.drift import ROLLING
 from wakeline.session import shared_folder
 from wakeline.streaming import drift, ingest, sessions
 from wakeline.streaming.state import StateTable
@@ -115,17 +115,19 @@ def m7(spark, sf):
     return spark.read.parquet(f"{new}/out").select("global_lsn", "trip_id")
 
 
-@query("m8_streaming_drift", FOLD + " SELECT id AS embedding_id, r6(drift) AS drift FROM f")
+@query("m8_streaming_drift", ROLLING + """ SELECT id AS embedding_id, r6(drift) AS drift, r6(CASE WHEN m >= 4 THEN q ELSE 0.45 END) AS threshold,
+  (drift > CASE WHEN m >= 4 THEN q ELSE 0.45 END)::INT AS outlier FROM s UNION ALL SELECT id, r6(0.0::DOUBLE), r6(0.45::DOUBLE), 0 FROM f WHERE n = 1""")
 def m8(spark, sf):
     root, v = shared_folder(spark, "drift"), views.vectors(spark, sf)
     third = F.floor(F.col("embedding_id") * 3 / v.agg(F.max("embedding_id") + 1).scalar())
 
     def run(stream):
-        writer = drift.streaming_drift(stream).writeStream.format("parquet").outputMode("append")
+        writer = drift.streaming_drift(stream, buffer=6, min_seen=4).writeStream.format("parquet").outputMode("append")
         writer.option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
 
     ingest.feed(spark, [v.where(third == c) for c in range(3)], f"{root}/in", run)
-    return spark.read.parquet(f"{root}/out").select("embedding_id", r6(F.col("drift")).alias("drift"))
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("embedding_id", *[r6(F.col(c)).alias(c) for c in ("drift", "threshold")], "outlier")
 
 
 SESSION_SQL = """SELECT vessel_id_int, min(timestamp_sec) AS start_sec, max(timestamp_sec) AS end_sec, count(*) AS points FROM (
