@@ -46,6 +46,13 @@ def test_matches_sql(spark, con, name):
     assert status in ("ok", "ROWS"), note
 
 
+@pytest.mark.parametrize("name", ["w12_class_trips", "w17_grid_windows", "j16_linear_grid"])
+def test_chained_scans_read_the_source_at_most_twice(spark, name):
+    from tests.helpers import plan_text
+
+    assert plan_text(QUERIES[name](spark, SF)).count("events.parquet") <= 2
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 

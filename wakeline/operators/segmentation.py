@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators.slices import BY_TIME, Stitch, Track, running_sum, stitch
 from wakeline.registry import CLASS_LIMITS, DEFAULT_LIMITS
+from wakeline.session import stored
 
 TRIP_GAP_SEC = 1800
 STATIC_SPEED = 1.0
@@ -75,7 +76,8 @@ def assign_class_trips(df: DataFrame, track: Track = BY_TIME, gap: int = TRIP_GA
 
     Every row past the limit breaks again, as published.
     """
-    runs = static_runs(df, track)
+    # the second stitch reads its input twice: the first one runs once
+    runs = stored(static_runs(df, track), "static-runs")
     late = (F.col("time_step") > gap) | (F.col("static_seconds") > class_limit(1))
     counted = running_sum(runs.withColumn("break_flag", late.cast("bigint")), track, "break_flag", "trip_no")
     if offsets is not None:
