@@ -56,11 +56,17 @@ def test_running_sum_and_trips_do_not_depend_on_slices(spark, width):
         assert r["n"] == seen[r["vessel_id_int"]]
 
 
-def test_fitted_slices_follow_the_busiest_vessel(spark):
-    df = spark.range(1_000).selectExpr("1L as vessel_id_int", "id as timestamp_sec", "id as global_lsn")
-    assert fitted(df, by_time(500), 100).width == 100
-    assert fitted(df, by_time(500), 10_000).width == 500
-    assert fitted(df.limit(0), by_time(500)).width == 500
+def test_crowded_slices_are_cut_for_their_vessel_alone(spark):
+    busy = spark.range(1_000).selectExpr("1L as vessel_id_int", "id as timestamp_sec", "id as global_lsn")
+    quiet = spark.range(50).selectExpr("2L as vessel_id_int", "id * 20 as timestamp_sec", "id + 5000 as global_lsn")
+    df = busy.unionByName(quiet).withColumn("one", F.lit(1).cast("bigint"))
+    track = fitted(df, by_time(500), 100)
+    sizes = {(r["vessel_id_int"], r["_slice"]): r["count"] for r in track.sliced(df).groupBy("vessel_id_int", "_slice").count().collect()}
+    assert sorted(n for (v, _), n in sizes.items() if v == 1) == [100] * 10
+    assert sorted(n for (v, _), n in sizes.items() if v == 2) == [25, 25]
+    whole = values(running_sum(df, by_time(500), "one", "n").select("global_lsn", "n"), "global_lsn")
+    assert values(running_sum(df, track, "one", "n").select("global_lsn", "n"), "global_lsn") == whole
+    assert fitted(df.limit(0), by_time(500)).dense.count() == 0
 
 
 def test_trip_counters(spark):

@@ -19,13 +19,16 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.session import stored
+
 Trigger = Callable[[Column, Column], Column]
 
 # Six hours of one vessel, or its rows within five million arrivals: what one task sorts.
-# The summary keeps one row for each of these.  ``fitted`` shortens the slices of dense tracks.
+# The summary keeps one row for each of these.  ``fitted`` cuts crowded slices further.
 TIME_SLICE_SEC = 21_600
 SEQUENCE_SLICE = 5_000_000
 ROWS_PER_SLICE = 2_000_000
+MOST_PARTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -39,20 +42,34 @@ class Track:
     key: Sequence[str] = ("vessel_id_int",)
     order: Sequence[str] = ("timestamp_sec", "global_lsn")
     width: float = TIME_SLICE_SEC
+    # ``key, _even, _parts`` of the slices that are cut further; see ``fitted``
+    dense: DataFrame | None = None
 
-    def slice_column(self) -> Column:
-        return F.floor(F.col(self.order[0]) / F.lit(self.width)).cast("bigint")
+    def sliced(self, df: DataFrame) -> DataFrame:
+        """Add ``_slice``, which never falls along the order."""
+        at = F.col(self.order[0])
+        even = F.floor(at / F.lit(self.width)).cast("bigint")
+        if self.dense is None:
+            return df.withColumn("_slice", even)
+        rows = df.withColumn("_even", even).join(F.broadcast(self.dense), [*self.key, "_even"], "left")
+        part = F.floor((at - F.col("_even") * F.lit(self.width)) * F.col("_parts") / F.lit(self.width)).cast("bigint")
+        return rows.withColumn("_slice", F.col("_even") * F.lit(MOST_PARTS) + F.coalesce(part, F.lit(0))).drop("_even", "_parts")
 
 
 def fitted(df: DataFrame, track: Track, rows_per_slice: int = ROWS_PER_SLICE) -> Track:
-    """The track with slices short enough for its busiest vessel.
+    """The track with its crowded slices cut into parts of about ``rows_per_slice`` rows.
 
-    One column-pruned count, combined before the shuffle; a single number comes
-    back.  The result never depends on the width, only the size of the tasks does.
+    One column-pruned count, combined before the shuffle.  Only slices above the
+    limit are listed, at most one for every ``rows_per_slice`` rows of the table, so
+    the list is a few megabytes even for a trillion rows.  Other vessels keep their
+    slices.  The result never depends on the cut, only the size of the tasks does.
     """
-    sizes = df.groupBy(*track.key, track.slice_column().alias("_slice")).agg(F.count(F.lit(1)).alias("n"))
-    busiest = sizes.agg(F.max("n")).first()[0] or 0
-    return replace(track, width=max(track.width / max(1, -(-busiest // rows_per_slice)), 1))
+    even = replace(track, dense=None)
+    sizes = even.sliced(df.select(*track.key, track.order[0])).groupBy(*track.key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.least(F.ceil(F.col("_n") / F.lit(rows_per_slice)), F.lit(MOST_PARTS)).cast("bigint")
+    dense = stored(sizes.where(F.col("_n") > rows_per_slice).select(
+        *track.key, F.col("_slice").alias("_even"), parts.alias("_parts")), "dense-slices")
+    return replace(track, dense=dense)
 
 
 BY_TIME = Track()
@@ -99,7 +116,7 @@ def stitch(df: DataFrame, track: Track, what: Stitch) -> DataFrame:
 
     # one small row per (key, slice)
     narrow = df.select(*track.key, *[c for c in carry if c not in track.key])
-    narrow = narrow.withColumn("_slice", track.slice_column())
+    narrow = track.sliced(narrow)
     needs_rows = what.lags > 1 or what.counters or what.fills
     if needs_rows:
         narrow = in_slice(narrow)
@@ -144,7 +161,7 @@ def stitch(df: DataFrame, track: Track, what: Stitch) -> DataFrame:
     summary = summary.select(*key, "_p1", *added)
 
     # the wide rows: one shuffle, one sort
-    wide = in_slice(df.withColumn("_slice", track.slice_column()))
+    wide = in_slice(track.sliced(df))
     if what.lags > 1:
         wide = wide.withColumn("_l2", F.lag("_cur", 2).over(inside))
     if what.leads:
@@ -175,7 +192,7 @@ def running_sum(df: DataFrame, track: Track, value: str, out: str) -> DataFrame:
     key = [*track.key, "_slice"]
     inside = Window.partitionBy(*key).orderBy(*track.order)
     along = Window.partitionBy(*track.key).orderBy("_slice")
-    sliced = df.withColumn("_slice", track.slice_column())
+    sliced = track.sliced(df)
     totals = sliced.groupBy(*key).agg(F.sum(value).alias("_total"))
     base = F.sum("_total").over(along.rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select(*key, F.coalesce(base, F.lit(0)).alias("_base"))
