@@ -11,8 +11,8 @@ below 1e-6.
   half keys it shares, so most classes enter none.
 * No bucket is compared pair by pair.  Its most popular member (whose half keys most others
   share: the original among its copies) is compared with the rest; buckets whose members are
-  all in one component are done, the others take the next members as centres, twice as many
-  each round, until no two components are left untested.  No candidate is dropped.
+  all in one component are done, the others take the next members as centres, eight times as
+  many each round, until no two components are left untested.  No candidate is dropped.
 * Pairs are confirmed on the full sets.  Components are merged by hooking each label to its
   least neighbour and following the hooks, in tables.
 
@@ -38,6 +38,8 @@ from wakeline.session import ship
 SHINGLE = 5
 GROUPS = 20
 ROWS = 4
+#: Each round takes so many times the centres of the round before.
+MORE_CENTRES = 8
 STRETCH = 1 << 20
 #: A table of so many pairs of ids (16 bytes each) or fewer may be broadcast.
 SMALL_PAIRS = 200_000
@@ -273,9 +275,14 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
         open_ = kept(open_, "open")
         order = Window.partitionBy("key").orderBy(F.col("popularity").desc(), "node")
         ranked = open_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres)
-        chosen = ranked.filter(F.col("rank") > last)
-        c = chosen.select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        meets = open_.join(c, "key").filter("label <> cl AND node <> c")
+        chosen = ranked.filter(F.col("rank") > last).drop("rank")
+        # most members have the label of the most popular one; a pair of two labels has another
+        main = ranked.filter("rank = 1").select("key", F.col("label").alias("main"))
+        members = open_.join(main, "key")
+        c = chosen.join(main, "key").select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), "main")
+        own, other = c.filter("cl = main").drop("main"), c.filter("cl <> main").drop("main")
+        meets = members.filter("label <> main").drop("main").join(own, "key").unionByName(members.drop("main").join(other, "key"))
+        meets = meets.filter("label <> cl AND node <> c")
         # sets of such different sizes cannot be alike
         meets = meets.filter(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn"))
         pairs = meets.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
@@ -293,7 +300,7 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
                 labels = moves if labels is None else kept(_relabelled(labels, "to", moves).unionByName(moves), "labels")
         if open_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > centres).limit(1).count() == 0:
             break
-        last, centres = centres, 2 * centres
+        last, centres = centres, MORE_CENTRES * centres
         buckets = open_.drop("label")
     owned = owners.withColumn("component_id", F.col("node"))
     if labels is not None:
