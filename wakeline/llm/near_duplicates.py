@@ -13,6 +13,8 @@ below 1e-6.
   share: the original among its copies) is compared with the rest; buckets whose members are
   all in one component are done, the others take the next members as centres, eight times as
   many each round, until no two components are left untested.  No candidate is dropped.
+* Shingles that one class alone has bound its likeness to all others; members and pairs that
+  the bound excludes are not compared.
 * Pairs are confirmed on the full sets.  Components are merged by hooking each label to its
   least neighbour and following the hooks, in tables.
 
@@ -174,6 +176,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(held, pa.binary())], ["node", "shingles"])
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, held in enumerate(batch.column("shingles")):
+            values = np.frombuffer(held.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(values), batch.column("node")[i].as_py(), np.int64)), pa.array(values)], ["node", "shingle"])
+
+
+def _shareable(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Buckets with ``shared``, without members that cannot be like any other of the bucket.
+
+    A shingle that one class alone has is in no intersection.  With ``shared`` others, a text
+    of n shingles is like one of m at most if threshold * (n + m) <= (100 + threshold) * shared,
+    so m must not be too large; the least size in the bucket tells whether any is small enough.
+    """
+    lone = sets.mapInArrow(_each_shingle, "node bigint, shingle bigint").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    rows = buckets.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "key").filter(threshold * (F.col("n") + F.col("least")) <= (100 + threshold) * F.col("shared"))
+    rows = kept(rows.drop("least"), "buckets")
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return kept(rows.join(met.select("key"), "key"), "buckets")
+
+
 def _confirmed(threshold: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +283,7 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     buckets = kept(_buckets(classes), "buckets")
     nodes = buckets.select(F.col("node").alias("doc_id")).distinct()
     sets = kept(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary"), "sets")
+    buckets = _shareable(buckets, sets, threshold)
     # rows that share a doc_id, and classes that it appears in
     same = filled.select("doc_id", "set1", "set2", "n_shingles").join(
         classes.select("set1", "set2", F.col("n").alias("n_shingles"), "node"), ["set1", "set2", "n_shingles"])
@@ -279,12 +307,14 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
         # most members have the label of the most popular one; a pair of two labels has another
         main = ranked.filter("rank = 1").select("key", F.col("label").alias("main"))
         members = open_.join(main, "key")
-        c = chosen.join(main, "key").select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"), "main")
+        c = chosen.join(main, "key").select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("shared").alias("cs"), F.col("label").alias("cl"), "main")
         own, other = c.filter("cl = main").drop("main"), c.filter("cl <> main").drop("main")
         meets = members.filter("label <> main").drop("main").join(own, "key").unionByName(members.drop("main").join(other, "key"))
         meets = meets.filter("label <> cl AND node <> c")
         # sets of such different sizes cannot be alike
         meets = meets.filter(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn"))
+        # nor can those that have too much of their own
+        meets = meets.filter(threshold * (F.col("n") + F.col("cn")) <= (100 + threshold) * F.least("shared", "cs"))
         pairs = meets.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
