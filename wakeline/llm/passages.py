@@ -328,8 +328,8 @@ def repeated_windows(docs: DataFrame, hot_in_task: int = HOT_IN_TASK, hot_pieces
     """
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    counts = texts.mapInArrow(_hot_anchors(hot_in_task), "key bigint, n bigint, total bigint").groupBy("key").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"))
+    counts = kept(texts.mapInArrow(_hot_anchors(hot_in_task), "key bigint, n bigint, total bigint").groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total")), "anchors")
     total = counts.agg(F.sum("total")).first()[0] or 0
     least = max(hot_pieces, total // MOST_HOT)
     hot = np.asarray([r.key for r in counts.filter(F.col("n") >= least).select("key").collect()], np.int64)
