@@ -245,6 +245,8 @@ def test_common_lines_go_and_depleted_documents_too(spark):
     assert set(left) == {*range(30), 101}
     assert left[4].text == other(4) and left[4].n_chars == len(other(4)) and left[4].mark == "clash"
     assert line_frequency.verdicts(docs(spark, [])).count() == 0
+    copied = [(200 + i, other(3) + "\nand a second line of the copied text", "a") for i in range(40)]
+    assert all(r.kept and r.n_removed_words == 0 for r in line_frequency.verdicts(docs(spark, copied + rows)).collect() if r.doc_id >= 200)
     twice = line_frequency.verdicts(docs(spark, [(1, "a b\na b", "x")] * 2)).collect()
     assert [r.n_dup_lines for r in twice] == [1, 1]
 

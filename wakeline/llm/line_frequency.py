@@ -1,16 +1,17 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Every normalised line is hashed; for each host the documents that hold it are counted.  A
+Every normalised line is hashed; for each host the documents that hold it are counted,
+exact copies as one: a much copied document is not boilerplate, its copies go later.  A
 line above the host's limit is boilerplate and removed, and a document that loses more than
 half of its words is depleted and rejected, as is one that fails the base rules.
 
-The limit is ``LINE_SHARE`` of the host's documents, ten at least, so it means the same at
+The limit is ``LINE_SHARE`` of the host's distinct documents, ten at least, so it means the same at
 every size.  Lines are distinct within a document before the shuffle and counts are combined
 map-side: a line that half of all documents share costs one row a task.
 
 Defined cases: a null text is an empty one (no words, base rules fail); a null host is a
-host of its own; a line without a word is no line; each row counts as a document, repeated
-rows included; other columns of the input are ignored.
+host of its own; a line without a word is no line; rows of one host and text count as one
+document and each have its verdict; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -56,13 +57,14 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 def measured(docs: DataFrame) -> DataFrame:
     """A row per document: base measures and its lines as (hash, words), without the text."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", ordered_key(F.col("source")).alias("host"), row_key().alias("row_key"), text.alias("text"))
+    df = docs.select("doc_id", ordered_key(F.col("source")).alias("host"), row_key().alias("row_key"), F.xxhash64(text).alias("text_key"),
+                     text.alias("text"))
     df = bind(df, "_w", words(F.col("text")))
     df = _repeat_words(df)
     df = bind(df, "_l", F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)))
     long = lambda c: c.cast("bigint")
     return df.select(
-        "doc_id", "host", "row_key",
+        "doc_id", "host", "row_key", "text_key",
         long(F.size("_w")).alias("n_words"),
         long(F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))).alias("word_chars"),
         long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
@@ -75,6 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def common_lines(rows: DataFrame) -> DataFrame:
     """(host, hash) of the lines that more of the host's documents hold than its limit."""
+    rows = rows.groupBy("host", "text_key").agg(F.any_value("lines").alias("lines"))
     hosts = rows.groupBy("host").agg(F.greatest(F.lit(float(LEAST_LIMIT)), F.count(F.lit(1)) * F.lit(LINE_SHARE)).alias("limit"))
     lines = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
     counted = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > LEAST_LIMIT)
@@ -94,7 +97,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     lost = lost.groupBy("row_key").agg(F.sum("words").alias("_lost"), F.collect_list("hash").alias("removed"))
     copies = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("_n"))
     lost = lost.join(copies, "row_key")
-    out = rows.drop("lines").join(lost, "row_key", "left")
+    out = rows.drop("lines", "text_key").join(lost, "row_key", "left")
     removed = F.coalesce((F.col("_lost") / F.col("_n")).cast("bigint"), F.lit(0).cast("bigint"))
     out = out.withColumn("n_removed_words", removed).drop("_lost", "_n")
     depleted = F.col("n_words") - F.col("n_removed_words") < F.col("n_words") * DEPLETED_BELOW

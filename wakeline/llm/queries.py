@@ -55,14 +55,14 @@ wins AS (SELECT doc_id, i, len(ws) AS n, array_to_string(ws[i:i+4], ' ') AS win
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM docs WHERE len(ws) >= 5)),
 twice AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c >= 2),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
-lines AS (SELECT doc_id, host, line,
+lines AS (SELECT doc_id, host, line, text,
     trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm,
     len({_WORDS.format('line')}) AS nw
-  FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM docs)
+  FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM lines GROUP BY 1),
-hosts AS (SELECT host, greatest(10, 0.10::DOUBLE * count(*)) AS lim FROM docs GROUP BY 1),
-hot AS (SELECT host, norm FROM lines JOIN hosts USING (host) GROUP BY host, norm, lim HAVING count(DISTINCT doc_id) > lim),
+hosts AS (SELECT host, greatest(10, 0.10::DOUBLE * count(DISTINCT text)) AS lim FROM docs GROUP BY 1),
+hot AS (SELECT host, norm FROM lines JOIN hosts USING (host) GROUP BY host, norm, lim HAVING count(DISTINCT text) > lim),
 lost AS (SELECT doc_id, CAST(sum(nw) AS BIGINT) AS n_lost FROM lines JOIN hot USING (host, norm) GROUP BY 1),
 base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
