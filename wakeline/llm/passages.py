@@ -34,8 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wakeline.llm.column_bwt import column_wise
 from wakeline.llm.common import kept, running_start, sealed, unsealed
@@ -304,10 +305,11 @@ def _constructed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def unique_ids(docs: DataFrame) -> DataFrame:
     """``docs`` with ``doc_id`` replaced by ``_order`` where ids are null or repeat.
 
-    Returns rows ``doc_id, text, given`` in which doc_id is unique up to equal rows.
+    Returns rows ``doc_id, text, given`` and the other columns, in which doc_id is unique up to equal rows.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, F.col("doc_id").alias("given"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, F.col("doc_id").alias("given"), *others)
     counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if counted.filter("doc_id IS NULL OR n > 1").limit(1).count() == 0:
         return rows
@@ -317,7 +319,7 @@ def unique_ids(docs: DataFrame) -> DataFrame:
         ["all"], "cut", [F.col("doc_id").asc_nulls_first(), "text"], "one", "number")
     return kept(rows.join(numbered.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "number"),
                           F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")))
-                .select(F.col("number").alias("doc_id"), "text", "given"), "numbered")
+                .select(F.col("number").alias("doc_id"), "text", "given", *others), "numbered")
 
 
 def repeated_windows(docs: DataFrame, hot_in_task: int = HOT_IN_TASK, hot_pieces: int = HOT_PIECES) -> DataFrame:
@@ -380,7 +382,7 @@ def _digest(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
 
 def digests(docs: DataFrame, **limits: int) -> DataFrame:
     """What is left of every document: sizes and hash of the remaining bytes."""
-    rows = unique_ids(docs)
+    rows = unique_ids(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.join(repeated_windows(rows, **limits), "doc_id", "left").mapInArrow(
         lambda batches: _left(batches, _digest), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
@@ -392,22 +394,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character of which a byte is removed goes as a whole.  Documents of which nothing is
     left are dropped.
     """
-    rows = unique_ids(docs)
-    spans = repeated_windows(rows)
+    rows = unique_ids(sealed(docs).withColumn("_none", F.col("text").isNull()))
+    names = rows.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
             texts = ["".join(part.decode("utf-8", "ignore") for part in k) if removed else None for _, removed, _, k in results]
-            return pa.RecordBatch.from_arrays([batch.column("given"), batch.column("text"), pa.array(texts, pa.string())], ["given", "text", "left"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "left"])
         yield from _left(batches, emit)
 
-    changed = rows.join(spans, "doc_id").mapInArrow(cut, f"given {docs.schema['doc_id'].dataType.simpleString()}, text string, left string")
-    mark = lambda i, t: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(t), F.lit("")))
-    changed = changed.select(mark("given", "text").alias("_mark"), "left").filter("left IS NOT NULL")
-    one = changed.withColumn("_k", F.row_number().over(Window.partitionBy("_mark").orderBy("left"))).filter("_k = 1").drop("_k")
-    out = sealed(docs).withColumn("_mark", mark("doc_id", "text")).join(one, "_mark", "left")
+    # the texts are moved once, with all columns
+    out = rows.join(repeated_windows(rows), "doc_id", "left").mapInArrow(cut, T.StructType([*rows.schema.fields, T.StructField("left", T.StringType())]))
     touched = F.col("left").isNotNull()
     return unsealed(out.filter(~touched | (F.length("left") > 0)).withColumns({
+        "doc_id": F.col("given"),
         "n_chars": F.when(touched, F.length("left").cast("bigint")).otherwise(F.col("n_chars")),
-        "text": F.when(touched, F.col("left")).otherwise(F.col("text")),
+        "text": F.when(touched, F.col("left")).when(~F.col("_none"), F.col("text")),
     }), docs.columns)
