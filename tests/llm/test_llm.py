@@ -493,6 +493,31 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_every_notice_of_the_tables_has_its_license_at_any_collection_size(spark):
+    notices = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+               "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+               "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary"}
+    seen = set()
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        lines = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
+        seen |= {r.line for r in lines.filter(F.col("line").rlike(licenses.HEADER)).distinct().collect()}
+    assert seen == set(notices)
+    more = {"Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+            "Copyright (c) 2019 Foo. All rights reserved.": "Proprietary", "BSD 3-Clause License": "BSD-3-Clause",
+            "# Licensed under the Apache License, Version 2.0 (the \"License\");": "Apache-2.0", "Licensed under the Foo License": None, "License": None}
+    given = list((notices | more).items())
+    rows = [(0, "/LICENSE", "Released under the MIT License.")] + [(i, f"/d/{i}.txt", line) for i, (line, _) in enumerate(given, 1)]
+    files = lambda rows: spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    small = rows_of(licenses.scan(files(rows)))
+    assert {line: small[i].own_license for i, (line, _) in enumerate(given, 1)} == dict(given)
+    assert all(small[i].license == (name or "MIT") for i, (_, name) in enumerate(given, 1))
+    large = rows_of(licenses.scan(files(rows + [(i, f"/e/{i}.txt", rows[i % 5][2]) for i in range(100, 1500)])))
+    assert all(large[i] == small[i] for i in small)
+    # reserved rights beside a granted licence do not hide it
+    both = "Copyright (c) All rights reserved\nUse of this code is governed by a BSD style license"
+    assert licenses.scan(files([(1, "/f.py", both)])).first().license == "BSD-3-Clause"
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, tmp_path):

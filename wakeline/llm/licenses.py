@@ -2,9 +2,11 @@
 
 Every line of every text that names a licence is a header line.  Equal header lines are
 counted first, so a line that a third of all files share is weighed once.  Lines and
-templates are sparse TF-IDF vectors over their words, with document frequencies over all
-header lines of the collection; a line's licence is the template of highest cosine, 0.5 at
-least, and a file's own licence is that of its best line.
+templates are sparse TF-IDF vectors over their words, 1 + ln tf times ln((templates + 1) /
+(templates with the word + 1)).  Frequencies are those of the templates, so a line has the
+same licence in a collection of any size; a word of no template weighs most.  A line's
+licence is the template of highest cosine, 0.5 at least, and a file's own licence is that
+of its best line.  Lines that only reserve rights count where no line grants a licence.
 
 A licence file covers its directory and all below.  A file without a header of its own
 inherits from the nearest directory above it that has a licence: the distinct directories
@@ -19,12 +21,16 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import kept
 
-# Short forms of the notices that the licences ask for.
+# Wordings of the notices that the licences ask for, several a licence.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD style license"),
@@ -34,7 +40,26 @@ TEMPLATES = [
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("GPL-3.0", "GNU General Public License v3.0"),
+    ("LGPL-3.0", "GNU Lesser General Public License v3.0"),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under the MIT license"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Proprietary", "All rights reserved"),
+    ("Proprietary", "Copyright (c) All rights reserved"),
 ]
+#: Reserves rights and grants none: such a file inherits nothing.
+RESERVED = "Proprietary"
 #: A header line holds one of these word stems.
 HEADER = "(?i)licen[cs]e|copyright|spdx|all rights reserved"
 LEAST_COSINE = 0.5
@@ -50,40 +75,44 @@ def trimmed(words: Column) -> Column:
     return F.transform(words, lambda t: F.regexp_replace(t, "^[.-]+|[.-]+$", ""))
 
 
-def template_rows(spark: SparkSession) -> DataFrame:
-    """``place, license, line`` of the templates, in order."""
-    rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("license"), F.lit(text).alias("line"))
-                     for i, (name, text) in enumerate(TEMPLATES)))
-    return spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
+def words_of(text: str) -> list[str]:
+    """``trimmed(terms(...))`` of a template."""
+    return [t for t in (w.strip(".-") for w in re.split("[^a-z0-9.-]+", text.lower())) if t]
+
+
+def term_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """``term, idf, t0, t1, ...``: a term's weight in each template's vector of length one."""
+    counts = [Counter(words_of(text)) for _, text in templates]
+    df = Counter(term for c in counts for term in c)
+    idf = {term: math.log((len(templates) + 1) / (n + 1)) for term, n in df.items()}
+    vectors = [{term: (1 + math.log(n)) * idf[term] for term, n in c.items()} for c in counts]
+    norms = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    rows = [(term, idf[term], *(v.get(term, 0.0) / norm for v, norm in zip(vectors, norms, strict=True))) for term in sorted(df)]
+    columns = "".join(f", t{i} double" for i in range(len(templates)))
+    return spark.createDataFrame(rows, f"term string, idf double{columns}")
 
 
-def _frequencies(lines: DataFrame, *keys: str) -> DataFrame:
-    return lines.select(*keys, F.explode(trimmed(terms(F.col("line")))).alias("term")).groupBy(*keys, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+def best_template(tf: DataFrame, key: str, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """``key, order, license, cosine`` of each key that is like a template; ``tf`` has ``key, term, tf``."""
+    known = F.broadcast(term_weights(tf.sparkSession, templates))
+    unknown = math.log(len(templates) + 1)
+    weighed = tf.join(known, "term", "left").withColumn("w", (F.log("tf") + 1) * F.coalesce("idf", F.lit(unknown)))
+    sums = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(
+        F.sum(F.col("w") * F.coalesce(f"t{i}", F.lit(0.0))).alias(f"dot{i}") for i in range(len(templates))))
+    cosines = F.array(*(F.struct(F.round(F.col(f"dot{i}") / F.col("norm"), 9).alias("cosine"), F.lit(-i).alias("order"), F.lit(name).alias("license"))
+                        for i, (name, _) in enumerate(templates)))
+    best = sums.filter("norm > 0").select(key, F.array_max(cosines).alias("best")).filter(F.col("best.cosine") >= least)
+    return best.select(key, "best.order", "best.license", "best.cosine")
 
 
 def line_licenses(headers: DataFrame) -> DataFrame:
-    """``line, place, license, cosine`` of each distinct header line that is like a template.
+    """``line, order, license, cosine`` of each distinct header line that is like a template.
 
     ``headers`` has a column ``line``, a row per occurrence.
     """
-    distinct = kept(headers.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "header-lines")
-    tf = _frequencies(distinct, "line", "n")
-    found = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()["lines"]
-    df = tf.groupBy("term").agg(F.sum("n").alias("df"))
-    known = _frequencies(template_rows(headers.sparkSession), "place", "license")
-    idf = F.log(F.lit(found + 1.0) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + 1
-    weigh = lambda rows: rows.join(df, "term", "left").withColumn("w", F.col("tf") * idf)
-    ours = weigh(tf.drop("n"))
-    theirs = weigh(known).select("place", "license", "term", F.col("w").alias("tw"))
-    norm = ours.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    template_norm = theirs.groupBy("place").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("template_norm"))
-    dots = ours.join(theirs, "term").groupBy("line", "place", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cos = dots.join(norm, "line").join(template_norm, "place").withColumn(
-        "cosine", F.round(F.col("dot") / (F.col("norm") * F.col("template_norm")), 9))
-    best = cos.filter(F.col("cosine") >= LEAST_COSINE).groupBy("line").agg(
-        F.max(F.struct("cosine", (-F.col("place")).alias("order"), "license")).alias("best"))
-    return best.select("line", F.col("best.order").alias("order"), F.col("best.license").alias("license"), F.col("best.cosine").alias("cosine"))
+    distinct = headers.select("line").distinct()
+    tf = distinct.select("line", F.explode(trimmed(terms(F.col("line")))).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return best_template(tf, "line", TEMPLATES, LEAST_COSINE)
 
 
 def directory(path: Column) -> Column:
@@ -105,10 +134,10 @@ def scan(files: DataFrame) -> DataFrame:
         F.split("text", "\n"), lambda x: x.rlike(HEADER))).alias("line"))
     lines = kept(lines, "headers")
     liked = line_licenses(lines)
-    headers = lines.join(liked, "line")
-    own = headers.groupBy("doc_id", "path").agg(F.max(F.struct("cosine", "order", "license")).alias("own"))
-    covers = headers.filter(F.col("name").rlike(LICENSE_FILE)).groupBy("dir").agg(
-        F.max(F.struct("cosine", "order", "license")).alias("cover"))
+    headers = lines.join(liked, "line").withColumn("rank", F.when(F.col("license") == RESERVED, 0).otherwise(1))
+    best = F.max(F.struct("rank", "cosine", "order", "license"))
+    own = headers.groupBy("doc_id", "path").agg(best.alias("own"))
+    covers = headers.filter(F.col("name").rlike(LICENSE_FILE)).groupBy("dir").agg(best.alias("cover"))
     dirs = files.select("dir").distinct()
     above = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("a")).select("dir", "a.depth", "a.above")
     nearest = above.join(covers.select(F.col("dir").alias("above"), "cover.license"), "above").groupBy("dir").agg(
