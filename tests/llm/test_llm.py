@@ -518,6 +518,27 @@ def test_every_notice_of_the_tables_has_its_license_at_any_collection_size(spark
     assert licenses.scan(files([(1, "/f.py", both)])).first().license == "BSD-3-Clause"
 
 
+def test_license_files_are_compared_as_a_whole_and_spdx_headers_name_themselves(spark):
+    texts = dict(licenses.license_texts())
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"} <= set(texts)
+    untitled = {name: text[text.index("\n", text.index("\n", 40) + 1):] for name, text in texts.items()}
+    untitled["MIT"] = texts["MIT"][texts["MIT"].index("Permission"):]
+    untitled["BSD-3-Clause"] = "Copyright (c) 2001 Somebody Else\nAll rights reserved.\n" + texts["BSD-3-Clause"][texts["BSD-3-Clause"].index("Redistribution"):]
+    heads = {"// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+             "/* SPDX-License-Identifier: mit */": "MIT", "<!-- SPDX-License-Identifier: LGPL-3.0+ -->": "LGPL-3.0",
+             "SPDX-License-Identifier: ISC": "ISC", "SPDX-License-Identifier: (MIT OR GPL-3.0-only)": "(MIT OR GPL-3.0)",
+             "Subject to the terms of the license,\nthe Mozilla Public License,\nversion 2.0 of the license": "MPL-2.0"}
+    rows = [(i, f"/{name}/LICENSE", text) for i, (name, text) in enumerate(untitled.items())]
+    rows += [(100 + i, f"/{name}/src/x.py", "code") for i, name in enumerate(untitled)]
+    rows += [(200 + i, f"/MIT/{i}.py", text) for i, text in enumerate(heads)]
+    rows += [(300, "/MIT/prose.txt", texts["GPL-3.0"].lower().replace("license", "").replace("copyright", "")), (301, "/own/LICENSE", "of the people and for the people " * 50), (302, "/null/LICENSE", None)]
+    got = rows_of(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")))
+    assert {n: got[i].own_license for i, n in enumerate(untitled)} == {n: n for n in untitled}
+    assert {n: got[100 + i].license for i, n in enumerate(untitled)} == {n: n for n in untitled}
+    assert {h: got[200 + i].own_license for i, h in enumerate(heads)} == heads
+    assert [got[i].own_license for i in (300, 301, 302)] == [None, None, None]
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, tmp_path):

@@ -7,6 +7,13 @@ templates are sparse TF-IDF vectors over their words, 1 + ln tf times ln((templa
 same licence in a collection of any size; a word of no template weighs most.  A line's
 licence is the template of highest cosine, 0.5 at least, and a file's own licence is that
 of its best line.  Lines that only reserve rights count where no line grants a licence.
+Adjoining header lines are also one vector together, because notices are wrapped.
+
+A file named as a licence is also compared as a whole, with the texts in ``license_texts``:
+it has the licence of the likest text, 0.6 at least, whatever its single lines say.
+
+The expression after ``SPDX-License-Identifier:`` names the licence itself (cosine 1.0),
+without ``-only``, ``-or-later`` and ``+``; names without a template stand as they are.
 
 A licence file covers its directory and all below.  A file without a header of its own
 inherits from the nearest directory above it that has a licence: the distinct directories
@@ -24,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +68,15 @@ TEMPLATES = [
 ]
 #: Reserves rights and grants none: such a file inherits nothing.
 RESERVED = "Proprietary"
+#: Whole licence texts by the name of their file.
+TEXTS = Path(__file__).resolve().parent / "license_texts"
 #: A header line holds one of these word stems.
 HEADER = "(?i)licen[cs]e|copyright|spdx|all rights reserved"
 LEAST_COSINE = 0.5
+LEAST_TEXT_COSINE = 0.6
+#: An identifier or an expression of several; comment ends are left out.
+SPDX = "(?i)SPDX-License-Identifier:\\s*([A-Za-z0-9(][A-Za-z0-9.+() -]*[A-Za-z0-9+)])"
+SPDX_SUFFIX = "(?i)(-only|-or-later|[+])(?![A-Za-z0-9.-])"
 LICENSE_FILE = "(?i)^(license|licence|copying)([.].*)?$"
 
 
@@ -105,14 +119,49 @@ def best_template(tf: DataFrame, key: str, templates: list[tuple[str, str]], lea
     return best.select(key, "best.order", "best.license", "best.cosine")
 
 
+def counted(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term, tf`` of the texts."""
+    return df.select(key, F.explode(trimmed(terms(F.col(text)))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def spdx(line: Column) -> Column:
+    """The licence that an SPDX header names, in the spelling of the templates; empty without one."""
+    named = F.regexp_replace(F.regexp_extract(line, SPDX, 1), SPDX_SUFFIX, "")
+    spelling = {name.lower(): name for name in sorted({name for name, _ in [*TEMPLATES, *license_texts()]})}
+    known = F.create_map(*(F.lit(x) for pair in spelling.items() for x in pair))
+    return F.coalesce(known[F.lower(named)], named)
+
+
 def line_licenses(headers: DataFrame) -> DataFrame:
     """``line, order, license, cosine`` of each distinct header line that is like a template.
 
     ``headers`` has a column ``line``, a row per occurrence.
     """
-    distinct = headers.select("line").distinct()
-    tf = distinct.select("line", F.explode(trimmed(terms(F.col("line")))).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return best_template(tf, "line", TEMPLATES, LEAST_COSINE)
+    distinct = headers.select("line").distinct().withColumn("spdx", spdx(F.col("line")))
+    named = distinct.filter("spdx <> ''").select("line", F.lit(1).alias("order"), F.col("spdx").alias("license"), F.lit(1.0).alias("cosine"))
+    return best_template(counted(distinct.filter("spdx = ''"), "line", "line"), "line", TEMPLATES, LEAST_COSINE).unionByName(named)
+
+
+def license_texts() -> list[tuple[str, str]]:
+    return [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
+
+
+def text_licenses(files: DataFrame) -> DataFrame:
+    """``doc_id, path, dir, name, order, license, cosine`` of licence files that are like a whole text."""
+    named = files.filter(F.col("name").rlike(LICENSE_FILE) & F.col("text").isNotNull()).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    distinct = named.select("digest", "text").dropDuplicates(["digest"])
+    liked = best_template(counted(distinct, "digest", "text"), "digest", license_texts(), LEAST_TEXT_COSINE)
+    return named.drop("text").join(liked, "digest").drop("digest")
+
+
+def header_parts(text: Column) -> Column:
+    """Each header line, and each run of two or more adjoining header lines as one part."""
+    lines = F.split(text, "\n")
+    is_header = lambda x: x.rlike(HEADER)
+    # other lines become NUL, so that runs lie between them
+    runs = F.split(F.array_join(F.transform(lines, lambda x: F.when(is_header(x), F.translate(x, "\0", " ")).otherwise(F.lit("\0"))), "\n"), "\0")
+    runs = F.filter(F.transform(runs, lambda x: F.regexp_replace(x, "^\n|\n$", "")), lambda x: x.contains("\n"))
+    return F.when(text.rlike(HEADER), F.concat(F.filter(lines, is_header), runs))
 
 
 def directory(path: Column) -> Column:
@@ -130,11 +179,11 @@ def ancestors(folder: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """Own, inherited and resulting licence of every file (``doc_id, path, text``)."""
     files = files.select("doc_id", "path", "text").withColumns({"dir": directory(F.col("path")), "name": F.regexp_extract(F.coalesce("path", F.lit("")), "[^/]*$", 0)})
-    lines = files.select("doc_id", "path", "dir", "name", F.explode(F.filter(
-        F.split("text", "\n"), lambda x: x.rlike(HEADER))).alias("line"))
+    lines = files.select("doc_id", "path", "dir", "name", F.explode(header_parts(F.col("text"))).alias("line"))
     lines = kept(lines, "headers")
     liked = line_licenses(lines)
-    headers = lines.join(liked, "line").withColumn("rank", F.when(F.col("license") == RESERVED, 0).otherwise(1))
+    headers = lines.join(liked, "line").withColumn("rank", F.when(F.col("license") == RESERVED, 0).otherwise(1)).drop("line").unionByName(
+        text_licenses(files).withColumn("rank", F.lit(2)))
     best = F.max(F.struct("rank", "cosine", "order", "license"))
     own = headers.groupBy("doc_id", "path").agg(best.alias("own"))
     covers = headers.filter(F.col("name").rlike(LICENSE_FILE)).groupBy("dir").agg(best.alias("cover"))
