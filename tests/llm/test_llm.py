@@ -177,6 +177,24 @@ def test_fingerprint_edge_cases(spark):
     assert len(twice) == 3
 
 
+def test_one_character_moves_few_cuts_of_an_unspaced_text(spark):
+    rng = random.Random(5)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    texts = [some("".join(map(chr, range(0x4E00, 0x5200))), 3000), some("ABCDEFGHabcdefgh0123456789+/", 3000),
+             "spaced words " + some("abcdef()={};", 3000) + "\nand more", some("\U00020000\U00020001\U00020002é", 3000)]
+    edits = [lambda t: "a" + t, lambda t: t[1:], lambda t: t[:20] + "é" + t[20:], lambda t: t[:1500] + t[1501:]]
+    rows = [(t, edit(t)) for t in texts for edit in edits]
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = order_minhash.fingerprinted(order_minhash.fingerprinted(df, "a", "fa"), "b", "fb")
+    assert min(r[0] for r in df.select(order_minhash.likeness(F.col("fa"), F.col("fb"))).collect()) > 0.8
+    # cuts take nothing away, need a long run, and do not depend on what stands before
+    text = texts[0]
+    marked = spark.createDataFrame([(text,), ("字" + text,), ("x" * 700,), ("a" * 27 + " b\n",)], "t string").select(order_minhash.content_cut(F.col("t"))).collect()
+    assert marked[0][0].replace("\x0b", "") == text and 80 < marked[0][0].count("\x0b") < 240
+    assert marked[1][0].split("\x0b")[2:] == marked[0][0].split("\x0b")[2:] or marked[1][0].split("\x0b")[2:] == marked[0][0].split("\x0b")[1:]
+    assert [marked[2][0], marked[3][0]] == ["x" * 700, "a" * 27 + " b\n"]
+
+
 # 3: packing
 
 def test_packing_places_every_id_once(spark):

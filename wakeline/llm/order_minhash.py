@@ -2,6 +2,11 @@
 
 A text is cut into pieces (runs of non-space characters, twelve at most), a piece and the two
 after it make a k-mer, and the k-th occurrence of a k-mer in the text is an element of its own.
+Runs of ``LONG_RUN`` characters and more are first cut by content, before each place whose
+four characters hash lower than those of the twelve places before and after it, so that an
+edit moves the cuts of its surroundings only.  Where four characters come back within twelve
+places over and over (one letter repeated), no place is the lowest and twelve are counted
+from the last cut.
 Elements fall into 64 groups by hash.  Each group contributes its two minimal elements in
 the order in which they stand in the text, hashed as a tuple: moved text changes the tuples
 although the set of k-mers stays, so likeness follows edit distance rather than overlap.
@@ -22,6 +27,12 @@ from wakeline.llm.common import bind
 
 #: A piece and, looking ahead, the two after it: the k-mer that begins at the piece.
 KMER = "(?=(\\S{1,12}\\s*\\S{0,12}\\s*\\S{0,12}))\\S{1,12}"
+#: Content cuts: characters hashed at a place, places compared on either side, and the shortest run with such a place.
+GRAM = 4
+REACH = 12
+LONG_RUN = 2 * REACH + GRAM
+#: Marks a content cut; white space to ``KMER``.
+CUT = "\x0b"
 GROUP_BITS = 6
 #: Low bits of a packed long that hold a position; a string has fewer pieces than that.
 PLACE_BITS = 28
@@ -37,14 +48,43 @@ def _packed(hashed: Column, place: Column) -> Column:
     return hashed.bitwiseAND(F.lit(HIGH)).bitwiseOR(place.cast("bigint"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _cut(run: Column) -> Column:
+    """A long run with a mark at each content cut."""
+    def marked(chars: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(chars) - GRAM), lambda i: F.xxhash64(F.concat(*(F.get(chars, i + k) for k in range(GRAM)))))
+
+        def lowest(grams: Column, i: Column) -> Column:
+            here = F.get(grams, i)
+            inside = (i >= REACH) & (i < F.size(grams) - REACH)
+            return inside & (here < F.array_min(F.slice(grams, F.greatest(i - REACH + 1, F.lit(1)), REACH))) & (
+                here < F.array_min(F.slice(grams, i + 2, REACH)))
+
+        return _let(grams, lambda g: F.array_join(F.transform(chars, lambda c, i: F.when(lowest(g, i), F.concat(F.lit(CUT), c)).otherwise(c)), ""))
+
+    return _let(F.filter(F.split(run, ""), lambda c: c != ""), marked)
+
+
+def content_cut(text: Column) -> Column:
+    """The text with a mark at each content cut of its long runs."""
+    long = f"\\S{{{LONG_RUN}}}"
+    parts = F.split(text, f"(?<!\\S)(?={long})|(?<={long})(?!\\S)")
+    return F.when(text.rlike(long), F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{long}"), _cut(p)).otherwise(p)), "")).otherwise(text)
+
+
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: the fingerprint as an ascending array of group-tagged tuple hashes."""
     b = lambda d, name, value: bind(d, f"_{name}", value)
     high = lambda x: x.bitwiseAND(F.lit(HIGH))
     group = lambda x: F.shiftrightunsigned(x, 64 - GROUP_BITS)
     # arrays of longs are sorted in projections of their own, which compile to a primitive sort
+    df = b(df, "cut", content_cut(F.col(text)))
     df = b(df, "kmers", F.transform(
-        F.regexp_extract_all(F.col(text), F.lit(KMER), F.lit(1)), lambda k, i: _packed(F.xxhash64(k), i)))
+        F.regexp_extract_all(F.col("_cut"), F.lit(KMER), F.lit(1)), lambda k, i: _packed(F.xxhash64(k), i)))
     df = df.withColumn("_kmers", F.sort_array("_kmers"))
     # where runs of equal k-mers begin
     df = b(df, "runs", F.filter(F.transform("_kmers", lambda x, i: F.when(
@@ -72,7 +112,7 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
 
     df = b(df, "tuples", F.sort_array(F.transform("_firsts", tuple_hash)))
     return df.withColumn(out, F.col("_tuples")).drop(
-        "_kmers", "_runs", "_elements", "_firsts", "_tuples")
+        "_cut", "_kmers", "_runs", "_elements", "_firsts", "_tuples")
 
 
 def likeness(a: Column, b: Column) -> Column:
