@@ -485,6 +485,16 @@ def test_component_edge_cases(spark):
         (0, 0, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False), (4, 1, False), (5, 1, False)]
 
 
+def test_documents_of_several_texts_keep_the_links_of_each(spark):
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    near = words("a", 104)
+    rows = [(5, near, "x"), (5, words("b", 304), "x"), (7, near.replace("a103", "other"), "x"),
+            (21, words("p", 30), "x"), (30, words("q", 30), "x"), (35, words("r", 30), "x"),
+            (40, words("p", 30), "x"), (40, words("q", 30), "x"), (40, words("r", 30), "x")]
+    got = near_duplicates.components(docs(spark, rows), 85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (21, 21), (30, 21), (35, 21), (40, 21)}
+
+
 def test_long_texts_hash_alike_in_stretches(monkeypatch):
     import pyarrow as pa
 

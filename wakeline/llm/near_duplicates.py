@@ -190,9 +190,11 @@ def _shareable(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     A shingle that one class alone has is in no intersection.  With ``shared`` others, a text
     of n shingles is like one of m at most if threshold * (n + m) <= (100 + threshold) * shared,
     so m must not be too large; the least size in the bucket tells whether any is small enough.
+    A document of several texts has the shingles of all, which bound none of them.
     """
+    several = sets.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     lone = sets.mapInArrow(_each_shingle, "node bigint, shingle bigint").groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone")).join(several, "node", "left_anti")
     rows = buckets.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     rows = rows.join(least, "key").filter(threshold * (F.col("n") + F.col("least")) <= (100 + threshold) * F.col("shared"))
@@ -290,9 +292,9 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     owners = kept(same.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")), "owners")
 
     labels = None
-    twins = owners.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    if twins.limit(1).count():
-        labels = _merged(twins)
+    several = owners.filter("node <> other").select("doc_id", F.col("node").alias("a"))
+    if several.limit(1).count():
+        labels = _merged(same.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b"))
     tested, centres, last = None, 1, 0
     while True:
         open_ = buckets.withColumn("label", F.col("node"))
