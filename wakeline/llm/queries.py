@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import licenses, line_frequency, near_duplicates, order_minhash, packing, passages, perspectives, schedule, token_counts, url_filter
+from wakeline.llm import (
+    licenses,
+    line_frequency,
+    near_duplicates,
+    order_minhash,
+    packing,
+    passages,
+    perspectives,
+    phrases,
+    schedule,
+    shared_lines,
+    token_counts,
+    url_filter,
+    whitening,
+)
 from wakeline.llm.common import table
 
 QUERIES: dict = {}
@@ -193,3 +207,52 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tensored_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.components(table(spark, sf_dir, "documents"), threshold=85)
+
+
+_STRIPPED = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_shared_lines", f"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM docs),
+keyed AS (SELECT *, {_STRIPPED} AS key FROM lines),
+frequent AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+told AS (SELECT k.*, f.key IS NOT NULL AND doc_id < keeper AS lost FROM keyed k LEFT JOIN frequent f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM told GROUP BY doc_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_lines.digests(table(spark, sf_dir, "documents"))
+
+
+def _phrase_sql(limit: int) -> str:
+    cut = "1000000::HUGEINT * a * a // (CAST({} AS HUGEINT) * {})".format
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM ws) GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY 1),
+two AS (SELECT lang, p.x, p.y, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: {{'x': w[i], 'y': w[i + 1]}})) AS p FROM ws) GROUP BY ALL HAVING f >= 10),
+three AS (SELECT lang, p.x, p.y, p.z, count(*) AS a FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'x': w[i], 'y': w[i + 1], 'z': w[i + 2]}})) AS p FROM ws) GROUP BY ALL HAVING a >= 10),
+pair AS (SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, u.f AS l, v.f AS r FROM two t
+  JOIN one u ON u.lang = t.lang AND u.x = t.x JOIN one v ON v.lang = t.lang AND v.x = t.y
+  WHERE NOT EXISTS (SELECT 1 FROM three h WHERE h.lang = t.lang AND 100 * h.a >= 50 * t.f AND (h.x = t.x AND h.y = t.y OR h.y = t.x AND h.z = t.y))),
+cuts AS (SELECT h.lang, h.x || ' ' || h.y || ' ' || h.z AS phrase, a, u.f AS l1, yz.f AS r1, xy.f AS l2, v.f AS r2 FROM three h
+  JOIN one u ON u.lang = h.lang AND u.x = h.x JOIN one v ON v.lang = h.lang AND v.x = h.z
+  JOIN two xy ON xy.lang = h.lang AND xy.x = h.x AND xy.y = h.y JOIN two yz ON yz.lang = h.lang AND yz.x = h.y AND yz.y = h.z),
+scored AS (SELECT lang, phrase, a, l, r, {cut('l', 'r')} AS score FROM pair UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)
+  FROM (SELECT *, {cut('l1', 'r1')} AS s1, {cut('l2', 'r2')} AS s2 FROM cuts)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= {limit}"""
+
+
+@query("op12_phrase_collocations", _phrase_sql(phrases.LIMIT))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_polarised_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
