@@ -59,7 +59,8 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_documen
     marks = kept(_marks(docs, least_chars), "line-keys")
     holders = marks.select("k1", "k2", "_id").distinct()
     frequent = holders.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("documents"), F.max("_id").alias("keeper"))
-    frequent = frequent.filter(F.col("documents") >= least_documents).drop("documents")
+    # stored, so that both sides of the join are plain shuffles, which AQE can split at a hot key
+    frequent = kept(frequent.filter(F.col("documents") >= least_documents).drop("documents"), "frequent-lines")
     lost = marks.join(frequent, ["k1", "k2"]).filter(F.col("_id").isNull() | (F.col("_id") < F.col("keeper")))
     return lost.groupBy("_id", "_a", "_b").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
 
