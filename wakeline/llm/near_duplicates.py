@@ -9,10 +9,17 @@ below 1e-6.
 * Texts of equal shingle sets are one class before anything is compared.
 * Half keys that only one class has cannot meet; a class enters only the tables whose two
   half keys it shares, so most classes enter none.
-* No bucket is compared pair by pair.  Its most popular member (whose half keys most others
-  share: the original among its copies) is compared with the rest; buckets whose members are
-  all in one component are done, the others take the next members as centres, eight times as
-  many each round, until no two components are left untested.  No candidate is dropped.
+* No bucket is compared pair by pair.  Every member meets the bucket's most popular member
+  (whose half keys most others share: the original among its copies), its centre; that is a
+  row per document and centre.  The members of one centre, from whatever tables, are a group.
+* Two members of a group are compared through its centre.  A member's residue is what it has
+  and the centre lacks, or the other way round; the symmetric difference of two members is
+  that of their residues.  At likeness t it is at most (1-t)/(1+t) of both sizes together, so
+  two members whose residues are small enough are linked outright (the group's best member to
+  all that it reaches), and all others must share residue shingles, so many that the rarest few
+  of each residue must have one in common.  Only members of different components that share
+  one of these are paired.  No candidate is dropped, and texts that lie just below the limit
+  to each other for reasons of their own meet nowhere.
 * Shingles that one class alone has bound its likeness to all others; members and pairs that
   the bound excludes are not compared.
 * Pairs are confirmed on the full sets.  Components are merged by hooking each label to its
@@ -20,7 +27,7 @@ below 1e-6.
 
 Defined cases: a null text or one without words has the empty set and no link; fewer than
 five words are one shingle; rows that share a doc_id are one document with the links of
-each; a null doc_id has a null component and is kept; an empty table gives an empty result;
+each text; a null doc_id has a null component and is kept; an empty table gives an empty result;
 other columns are carried where documents are returned and ignored elsewhere.
 """
 
@@ -30,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import kept, sealed, unsealed
@@ -40,11 +47,10 @@ from wakeline.session import ship
 SHINGLE = 5
 GROUPS = 20
 ROWS = 4
-#: Each round takes so many times the centres of the round before.
-MORE_CENTRES = 8
+#: Members of a group that are compared with those outside the centre's component before
+#: residues are: the originals of further families among its members.
+FURTHER_CENTRES = 4
 STRETCH = 1 << 20
-#: A table of so many pairs of ids (16 bytes each) or fewer may be broadcast.
-SMALL_PAIRS = 200_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0x94D049BB133111EB)
@@ -146,6 +152,17 @@ def _half_keys(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _set_marks(values: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Two hashes and the size of each set: equal for equal sets."""
+    n = np.diff(at)
+    one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        one[some] = np.add.reduceat(_mix(values), at[:-1][some])
+        two[some] = np.add.reduceat(_mix(values ^ _BASE), at[:-1][some])
+    return [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n.astype(np.int64))]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -153,27 +170,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, at = shingle_sets(texts.slice(a, b - a))
             n = np.diff(at)
             some = np.flatnonzero(n)
-            begin = at[:-1][some]
-            one, two, halves = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64), np.zeros((0, 2 * GROUPS), np.uint64)
-            if len(some):
-                one[some] = np.add.reduceat(_mix(values), begin)
-                two[some] = np.add.reduceat(_mix(values ^ _BASE), begin)
-                halves = _half_keys(values, begin)
+            halves = _half_keys(values, at[:-1][some]) if len(some) else np.zeros((0, 2 * GROUPS), np.uint64)
             sizes = np.where(n > 0, 2 * GROUPS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
                                              pa.array(halves.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists],
-                ["doc_id", "n_shingles", "set1", "set2", "halves"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *_set_marks(values, at), lists],
+                                             ["doc_id", "set1", "set2", "n", "halves"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text, with the marks of its class."""
     for batch in batches:
         texts = batch.column("text")
         for a, b in runs(texts, STRETCH):
             values, at = shingle_sets(texts.slice(a, b - a))
+            marks = _set_marks(values, at)
             held = [values[at[i]: at[i + 1]].tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(held, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*marks, pa.array(held, pa.binary())], ["set1", "set2", "n", "shingles"])
 
 
 def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +203,9 @@ def _shareable(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     A shingle that one class alone has is in no intersection.  With ``shared`` others, a text
     of n shingles is like one of m at most if threshold * (n + m) <= (100 + threshold) * shared,
     so m must not be too large; the least size in the bucket tells whether any is small enough.
-    A document of several texts has the shingles of all, which bound none of them.
     """
-    several = sets.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     lone = sets.mapInArrow(_each_shingle, "node bigint, shingle bigint").groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone")).join(several, "node", "left_anti")
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
     rows = buckets.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     rows = rows.join(least, "key").filter(threshold * (F.col("n") + F.col("least")) <= (100 + threshold) * F.col("shared"))
@@ -203,18 +214,33 @@ def _shareable(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return kept(rows.join(met.select("key"), "key"), "buckets")
 
 
-def _confirmed(threshold: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            like = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                like[i] = 100 * shared >= threshold * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(like))
-    return confirm
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each row's batch and number, and both its sets as one ascending array with repeats."""
+    for batch in batches:
+        for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+            both.sort(kind="stable")
+            yield batch, i, both
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b, both``: how many shingles the two sets share."""
+    for batch in batches:
+        n = np.fromiter((np.count_nonzero(both[1:] == both[:-1]) for _, _, both in _both([batch])), np.int64, len(batch))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n)], ["a", "b", "both"])
+
+
+def _residues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b, shingle`` for each shingle that only one of the two sets has."""
+    for batch, i, both in _both(batches):
+        same = both[1:] == both[:-1]
+        alone = np.ones(len(both), bool)
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        left = both[alone].view(np.int64)
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), batch.column(c)[i].as_py(), np.int64)) for c in ("a", "b")]
+                                             + [pa.array(left)], ["a", "b", "shingle"])
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -262,13 +288,88 @@ def _relabelled(df: DataFrame, column: str, moves: DataFrame) -> DataFrame:
     return df.join(named, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
-def _links(pairs: DataFrame, n: int, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose sets are alike.  The sets of ``b`` travel to those of ``a``."""
-    small = (lambda d: F.broadcast(d)) if n <= SMALL_PAIRS else (lambda d: d)
-    wanted = sets.join(small(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
-    sent = small(pairs).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = sent.join(wanted.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(threshold), "a bigint, b bigint")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b`` with both sets.  The sets of ``b`` travel to those of ``a``, which are fewer."""
+    sent = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    return sent.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``a, b`` of the pairs (``a, b, n, m``) whose sets are alike."""
+    shared = _with_sets(pairs, sets).mapInArrow(_shared, "a bigint, b bigint, both bigint")
+    sized = shared.join(pairs.select("a", "b", (F.col("n") + F.col("m")).alias("nm")), ["a", "b"])
+    return sized.filter(100 * F.col("both") >= threshold * (F.col("nm") - F.col("both"))).select("a", "b")
+
+
+class _Labels:
+    """The label of each class, the least number of its component so far; a table of changes."""
+
+    def __init__(self):
+        self.moved = None
+
+    def merge(self, links: DataFrame) -> None:
+        links = kept(links.select("a", "b"), "links")
+        if self.moved is not None:
+            links = _relabelled(_relabelled(links, "a", self.moved), "b", self.moved)
+        moves = _merged(links)
+        if moves is not None:
+            self.moved = moves if self.moved is None else kept(_relabelled(self.moved, "to", moves).unionByName(moves), "labels")
+
+    def of(self, df: DataFrame, node: str = "node") -> DataFrame:
+        out = df.withColumn("label", F.col(node))
+        return out if self.moved is None else _relabelled(out, "label", self.moved)
+
+    def mixed(self, df: DataFrame, group: str) -> DataFrame:
+        """Rows of groups with two labels or more, with ``label``."""
+        named = kept(self.of(df), "named")
+        several = named.groupBy(group).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(group)
+        return named.join(several, group)
+
+
+def _groups(buckets: DataFrame) -> DataFrame:
+    """``c, cn, node, n, popularity, shared`` once for each member of any bucket of centre c."""
+    best = F.max_by(F.struct("node", "n"), F.struct("popularity", -F.col("node"))).alias("best")
+    centres = buckets.groupBy("key").agg(best).select("key", F.col("best.node").alias("c"), F.col("best.n").alias("cn"))
+    members = buckets.join(centres, "key").filter("node <> c")
+    return members.groupBy("c", "node").agg(*(F.first(x).alias(x) for x in ("cn", "n", "popularity", "shared")))
+
+
+def _need(slack) -> Column:
+    """Residue shingles that two members must share for a likeness, from the sum of their slacks."""
+    return F.greatest(F.lit(1), F.ceil(-slack / F.lit(2.0)))
+
+
+def _residue_pairs(group: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``a, b, n, m``: members of different labels that share enough of their rarest residue."""
+    # the most slack of another label that each member can meet
+    tops = group.groupBy("c", "label").agg(F.max("slack").alias("top"))
+    tops = tops.groupBy("c").agg(F.max_by("label", F.struct("top", "label")).alias("first"), F.max("top").alias("most"), F.collect_list("top").alias("t"))
+    tops = tops.select("c", "first", "most", F.get(F.array_sort("t", lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)), F.lit(1)).alias("next"))
+    other = F.when(F.col("label") == F.col("first"), F.col("next")).otherwise(F.col("most"))
+    scale = 100 + threshold
+    rows = group.join(tops, "c").withColumn("least", _need((F.col("slack") + other) / scale))
+    rows = rows.withColumn("prefix", F.col("residue") - F.col("least") + 1).filter("prefix > 0")
+    several = rows.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("c")
+    rows = kept(rows.join(several, "c").select("c", "node", "n", "label", "slack", "residue", "shared", "prefix"), "reach")
+    each = kept(_with_sets(rows.select(F.col("c").alias("a"), F.col("node").alias("b")), sets).mapInArrow(_residues, "a bigint, b bigint, shingle bigint"), "residues")
+    common = each.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("f"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "shingle"))
+    ranked = each.join(common, ["a", "shingle"]).withColumn("place", place).withColumnsRenamed({"a": "c", "b": "node"})
+    rare = kept(ranked.join(rows, ["c", "node"]).filter("place <= prefix AND f > 1"), "rare")
+    left = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_a") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
+    right = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
+    # from the first shared shingle on there must be enough left in both residues
+    rest = 1 + F.least(F.col("residue_a") - F.col("place_a"), F.col("residue_b") - F.col("place_b"))
+    met = (left["c"] == right["c"]) & (left["shingle"] == right["shingle"]) & (F.col("node_a") < F.col("node_b")) & (
+        F.col("label_a") != F.col("label_b")) & (rest >= _need((F.col("slack_a") + F.col("slack_b")) / scale)) & _possible(
+        threshold, F.col("n_a"), F.col("n_b"), F.col("shared_a"), F.col("shared_b"))
+    pairs = left.join(right, met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("n"), F.col("n_b").alias("m"))
+    return pairs.distinct()
+
+
+def _possible(threshold: int, n: Column, m: Column, n_shared: Column, m_shared: Column) -> Column:
+    """Sets of too different sizes cannot be alike, nor can those that have too much of their own."""
+    return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (threshold * (n + m) <= (100 + threshold) * F.least(n_shared, m_shared))
 
 
 def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
@@ -278,74 +379,67 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = kept(texts.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, halves array<bigint>"), "sketches")
-    filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("halves").alias("halves"))
-    classes = classes.withColumnRenamed("n_shingles", "n")
+    rows = kept(texts.mapInArrow(_sketch, "doc_id bigint, set1 bigint, set2 bigint, n bigint, halves array<bigint>"), "sketches")
+    filled = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    marks = ["set1", "set2", "n"]
+    classes = filled.groupBy(*marks).agg(F.min("doc_id").alias("least"), F.any_value("halves").alias("halves"))
+    classes = kept(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     buckets = kept(_buckets(classes), "buckets")
-    nodes = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = kept(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary"), "sets")
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select(*marks, "node", "least")
+    found = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = found.mapInArrow(_sets, "set1 bigint, set2 bigint, n bigint, shingles binary").join(wanted.drop("least"), marks)
+    sets = kept(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
     buckets = _shareable(buckets, sets, threshold)
-    # rows that share a doc_id, and classes that it appears in
-    same = filled.select("doc_id", "set1", "set2", "n_shingles").join(
-        classes.select("set1", "set2", F.col("n").alias("n_shingles"), "node"), ["set1", "set2", "n_shingles"])
-    owners = kept(same.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")), "owners")
-
-    labels = None
-    several = owners.filter("node <> other").select("doc_id", F.col("node").alias("a"))
-    if several.limit(1).count():
-        labels = _merged(same.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b"))
-    tested, centres, last = None, 1, 0
-    while True:
-        open_ = buckets.withColumn("label", F.col("node"))
-        if labels is not None:
-            open_ = _relabelled(open_, "label", labels)
-            mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            open_ = open_.join(mixed, "key", "left_semi")
-        open_ = kept(open_, "open")
-        order = Window.partitionBy("key").orderBy(F.col("popularity").desc(), "node")
-        ranked = open_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres)
-        chosen = ranked.filter(F.col("rank") > last).drop("rank")
-        # most members have the label of the most popular one; a pair of two labels has another
-        main = ranked.filter("rank = 1").select("key", F.col("label").alias("main"))
-        members = open_.join(main, "key")
-        c = chosen.join(main, "key").select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("shared").alias("cs"), F.col("label").alias("cl"), "main")
-        own, other = c.filter("cl = main").drop("main"), c.filter("cl <> main").drop("main")
-        meets = members.filter("label <> main").drop("main").join(own, "key").unionByName(members.drop("main").join(other, "key"))
-        meets = meets.filter("label <> cl AND node <> c")
-        # sets of such different sizes cannot be alike
-        meets = meets.filter(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn"))
-        # nor can those that have too much of their own
-        meets = meets.filter(threshold * (F.col("n") + F.col("cn")) <= (100 + threshold) * F.least("shared", "cs"))
-        pairs = meets.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept(pairs, "pairs")
-        n = pairs.count()
-        if n:
-            links = kept(_links(pairs, n, sets, threshold), "links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if labels is not None:
-                links = _relabelled(_relabelled(links, "a", labels), "b", labels)
-            moves = _merged(links)
-            if moves is not None:
-                labels = moves if labels is None else kept(_relabelled(labels, "to", moves).unionByName(moves), "labels")
-        if open_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > centres).limit(1).count() == 0:
-            break
-        last, centres = centres, MORE_CENTRES * centres
-        buckets = open_.drop("label")
-    owned = owners.withColumn("component_id", F.col("node"))
-    if labels is not None:
-        owned = _relabelled(owned, "component_id", labels)
-    out = rows.select("doc_id", "n_shingles").join(owned.select("doc_id", "component_id"), "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+
+    labels = _Labels()
+    # a document of several texts has the links of each
+    same = filled.select("doc_id", *marks).join(classes.select(*marks, "node"), marks).select("doc_id", "node").distinct()
+    several = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    labels.merge(same.join(several.select("doc_id", "a"), "doc_id").filter("a <> node").select("a", F.col("node").alias("b")))
+
+    groups = kept(_groups(labels.mixed(buckets, "key")), "groups")
+    shared = _with_sets(groups.select(F.col("c").alias("a"), F.col("node").alias("b")), sets).mapInArrow(_shared, "a bigint, b bigint, both bigint")
+    groups = groups.join(shared.withColumnsRenamed({"a": "c", "b": "node"}), ["c", "node"])
+    # the room that a member's residue leaves for another's, in units of 1 / (100 + threshold)
+    residue = F.col("n") + F.col("cn") - 2 * F.col("both")
+    groups = kept(groups.withColumn("residue", residue).withColumn("slack", (100 - threshold) * F.col("n") - (100 + threshold) * F.col("residue")), "groups")
+    alike = 100 * F.col("both") >= threshold * (F.col("n") + F.col("cn") - F.col("both"))
+    labels.merge(groups.filter(alike).select(F.col("c").alias("a"), F.col("node").alias("b")))
+
+    # every member has met the centre; of the others, those of different labels are left
+    open_ = kept(labels.mixed(groups, "c"), "open")
+    best = open_.groupBy("c").agg(F.max_by(F.struct("node", "label", "slack"), F.struct("slack", -F.col("node"))).alias("best"))
+    near = open_.join(best, "c").filter("slack + best.slack >= 0 AND label <> best.label")
+    labels.merge(near.select(F.col("best.node").alias("a"), F.col("node").alias("b")))
+
+    open_ = kept(labels.mixed(open_.drop("label"), "c"), "open")
+    main = labels.of(open_.select("c").distinct().withColumn("node", F.col("c"))).select("c", F.col("label").alias("main"))
+    outside = kept(open_.join(main, "c").filter("label <> main").drop("main"), "outside")
+    order = Window.partitionBy("c").orderBy(F.desc("popularity"), "node")
+    next_ = outside.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= FURTHER_CENTRES).select(
+        "c", F.col("node").alias("d"), F.col("n").alias("m"), F.col("label").alias("dl"), F.col("shared").alias("ds"))
+    met = outside.join(next_, "c").filter("label <> dl").filter(_possible(threshold, F.col("n"), F.col("m"), F.col("shared"), F.col("ds")))
+    met = kept(met.select(F.col("d").alias("a"), F.col("node").alias("b"), "m", "n").distinct(), "met")
+    labels.merge(_links(met, sets, threshold))
+
+    open_ = kept(labels.mixed(open_.drop("label"), "c"), "open")
+    pairs = kept(_residue_pairs(open_, sets, threshold), "pairs")
+    labels.merge(_links(pairs, sets, threshold))
+
+    named = labels.of(classes.select(*marks, "node", "least"))
+    first = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    owned = named.join(first, "label").select(*marks, "component_id")
+    out = rows.select("doc_id", *marks).join(owned, marks, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_copies(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """The documents of least id in their components; rows that share a doc_id leave one."""
-    chosen = components(docs, threshold).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    held = sealed(docs).join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    one = held.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return unsealed(one.filter("_k = 1 OR doc_id IS NULL"), docs.columns)
+    """The documents of least id in their components; rows equal in id and text leave one,
+    rows of one id and different texts all stay, as do rows without an id."""
+    chosen = components(docs, threshold).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    held = sealed(docs)
+    named = held.join(chosen, F.col("doc_id").cast("bigint") == F.col("_id"), "left_semi")
+    one = named.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("source"))).filter("_k = 1").drop("_k")
+    return unsealed(one.unionByName(held.filter("doc_id IS NULL")), docs.columns)
