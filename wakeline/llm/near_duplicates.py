@@ -289,7 +289,7 @@ def _relabelled(df: DataFrame, column: str, moves: DataFrame) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` with both sets.  The sets of ``b`` travel to those of ``a``, which are fewer."""
+    """``a, b`` with both sets, dealt by ``a``: a centre of very many members is ``b``."""
     sent = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return sent.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
 
@@ -348,13 +348,14 @@ def _residue_pairs(group: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     other = F.when(F.col("label") == F.col("first"), F.col("next")).otherwise(F.col("most"))
     scale = 100 + threshold
     rows = group.join(tops, "c").withColumn("least", _need((F.col("slack") + other) / scale))
-    rows = rows.withColumn("prefix", F.col("residue") - F.col("least") + 1).filter("prefix > 0")
+    # shingles of one class alone are in its residue and in no other
+    rows = rows.withColumn("prefix", F.col("residue") - F.col("least") + 1).filter("prefix > 0 AND residue - (n - shared) >= least")
     several = rows.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("c")
     rows = kept(rows.join(several, "c").select("c", "node", "n", "label", "slack", "residue", "shared", "prefix"), "reach")
-    each = kept(_with_sets(rows.select(F.col("c").alias("a"), F.col("node").alias("b")), sets).mapInArrow(_residues, "a bigint, b bigint, shingle bigint"), "residues")
-    common = each.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("f"))
+    each = kept(_with_sets(rows.select(F.col("node").alias("a"), F.col("c").alias("b")), sets).mapInArrow(_residues, "a bigint, b bigint, shingle bigint"), "residues")
+    common = each.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("f"))
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "shingle"))
-    ranked = each.join(common, ["a", "shingle"]).withColumn("place", place).withColumnsRenamed({"a": "c", "b": "node"})
+    ranked = each.join(common, ["b", "shingle"]).withColumn("place", place).withColumnsRenamed({"a": "node", "b": "c"})
     rare = kept(ranked.join(rows, ["c", "node"]).filter("place <= prefix AND f > 1"), "rare")
     left = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_a") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
     right = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
@@ -398,8 +399,8 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     labels.merge(same.join(several.select("doc_id", "a"), "doc_id").filter("a <> node").select("a", F.col("node").alias("b")))
 
     groups = kept(_groups(labels.mixed(buckets, "key")), "groups")
-    shared = _with_sets(groups.select(F.col("c").alias("a"), F.col("node").alias("b")), sets).mapInArrow(_shared, "a bigint, b bigint, both bigint")
-    groups = groups.join(shared.withColumnsRenamed({"a": "c", "b": "node"}), ["c", "node"])
+    shared = _with_sets(groups.select(F.col("node").alias("a"), F.col("c").alias("b")), sets).mapInArrow(_shared, "a bigint, b bigint, both bigint")
+    groups = groups.join(shared.withColumnsRenamed({"a": "node", "b": "c"}), ["c", "node"])
     # the room that a member's residue leaves for another's, in units of 1 / (100 + threshold)
     residue = F.col("n") + F.col("cn") - 2 * F.col("both")
     groups = kept(groups.withColumn("residue", residue).withColumn("slack", (100 - threshold) * F.col("n") - (100 + threshold) * F.col("residue")), "groups")
