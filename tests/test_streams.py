@@ -9,7 +9,7 @@ from tests.helpers import frame, random_tracks, values
 from wakeline.operators import drift, segmentation
 from wakeline.session import shared_folder, stored
 from wakeline.sources import lake, positions
-from wakeline.streaming import ingest, sessions
+from wakeline.streaming import ingest, latest, sessions
 from wakeline.streaming import state as states
 from wakeline.streaming.state import STATE, StateTable
 
@@ -71,10 +71,50 @@ def test_merge_is_idempotent_and_order_free(spark):
     assert [(r[0], r[8]) for r in once] == [(1, 5), (2, 9), (3, 1)]
 
 
-def test_gate_and_expiry(spark):
-    old, new = _states(spark, [(1, 10, 5)]), _states(spark, [(1, 8, 3), (2, 8, 1)])
-    assert values(states.gate(old, new).select("vessel_id_int", "accepted"), "vessel_id_int") == [(1, 0), (2, 1)]
-    assert [r[0] for r in values(states.without_expired(_states(spark, [(1, 0, 1), (2, 100, 2)]), 50))] == [2]
+MESSAGE = "vessel_id_int long, global_lsn long, timestamp_sec long, speed_raw double, lon_raw double, lat_raw double"
+
+
+def _gated(spark, root, chunks, **options):
+    def run(stream):
+        ingest.run_available(latest.gate_latest(stream, **options), f"{root}/ckpt", ingest.numbered_batches(f"{root}/gate"))
+
+    ingest.feed(spark, [frame(spark, c, MESSAGE) for c in chunks], f"{root}/in", run)
+    state = values(latest.stored_latest(spark, f"{root}/ckpt").select("vessel_id_int", "global_lsn", "last_speed"), "vessel_id_int")
+    return state, values(spark.read.parquet(f"{root}/gate").select("batch_no", "vessel_id_int", "global_lsn", "accepted"), "batch_no", "vessel_id_int")
+
+
+def test_gate_state_restart_and_initial_state(spark):
+    """Late rows are rejected, ties taken; a restarted query goes on, a new one starts from a given state."""
+    big = 2 ** 60 + 1  # beyond what a double holds
+    row = lambda v, lsn, ts=0: (v, lsn, ts, 0.5 * (lsn % 7), 1.0, 2.0)
+    root = shared_folder(spark, "gate")
+    state, gate = _gated(spark, root, [[row(1, 5), row(1, 4), row(2, big)], [row(1, 3), row(2, big), row(3, 1)], [row(3, 2)]])
+    assert gate == [(0, 1, 5, 1), (0, 2, big, 1), (1, 1, 3, 0), (1, 2, big, 1), (1, 3, 1, 1), (2, 3, 2, 1)]
+    assert [s[:2] for s in state] == [(1, 5), (2, big), (3, 2)] and state[0][2] == 2.5
+    # what a batch before left behind can still be read
+    assert [r[0] for r in values(latest.stored_latest(spark, f"{root}/ckpt", batch=0).select("global_lsn"), "global_lsn")] == [5, big]
+    again, gate = _gated(spark, shared_folder(spark, "cold"), [[row(1, 4), row(4, 9)]], initial=latest.stored_latest(spark, f"{root}/ckpt"))
+    assert gate == [(0, 1, 4, 0), (0, 4, 9, 1)] and [s[:2] for s in again] == [(1, 5), (2, big), (3, 2), (4, 9)]
+
+
+def test_vessels_not_seen_are_forgotten_by_timer(spark):
+    row = lambda v, lsn, ts: (v, lsn, ts, 1.0, 1.0, 2.0)
+    state, _ = _gated(spark, shared_folder(spark, "ttl"), [[row(1, 1, 100), row(2, 2, 100)], [row(1, 3, 140)], [row(3, 4, 151)]], retention=50)
+    assert [s[0] for s in state] == [1, 3]
+
+
+def test_sequence_continues_over_csv_chunks_and_replay(spark):
+    root = shared_folder(spark, "sequence")
+    handle = ingest.sequenced(f"{root}/out", ["timestamp", "mmsi_str"], F.floor(F.col("timestamp").cast("long") / 100), F.floor(F.col("timestamp").cast("long") / 10), start=7)
+    rows = [[(str(100 * c + 3 * i), f"{i % 2}", 1.0, 2.0, 3.0, 4.0, 5.0) for i in range(n)] for c, n in enumerate((20, 1, 33))]
+    chunks = [spark.createDataFrame(r, positions.RAW_SCHEMA).repartition(3) for r in rows]
+    ingest.feed_csv(spark, chunks, f"{root}/in", lambda s: ingest.run_available(s, f"{root}/ckpt", handle))
+    read = lambda: values(spark.read.parquet(f"{root}/out/rows").select("global_lsn", "batch_no", "timestamp"), "global_lsn")
+    got = read()
+    assert [g[0] for g in got] == list(range(7, 61)) and [g[1] for g in got] == [0] * 20 + [1] + [2] * 33
+    assert [g[2] for g in got] == [r[0] for part in rows for r in part]
+    handle(chunks[1], 1)  # the same batch once more
+    assert read() == got
 
 
 def test_carried_rows_respect_the_limit(spark):

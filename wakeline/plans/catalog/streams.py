@@ -11,7 +11,7 @@ from wakeline.plans import views
 from wakeline.plans.catalog.base import TRACKS, TRIPS, query, r6, with_blocks
 from wakeline.plans.catalog.drift import ROLLING
 from wakeline.session import shared_folder
-from wakeline.streaming import drift, ingest, sessions
+from wakeline.streaming import drift, ingest, latest, sessions
 from wakeline.streaming.state import StateTable
 
 START, DAY = 56_802_240, 2_880  # first second and day length of the derived track time
@@ -37,6 +37,26 @@ def m1(spark, sf):
         F.count(F.lit(1)).alias("n"), F.min("global_lsn").alias("first_lsn"))
 
 
+@query("p11_csv_stream_sequence", "SELECT event_id, 1000 - 1 + row_number() OVER (ORDER BY ts, event_id) AS global_lsn FROM events")
+def p11_stream(spark, sf):
+    """Messages arrive as CSV files in three parts; numbers go on from part to part."""
+    root = shared_folder(spark, "sequence")
+    ev = views.table(spark, sf, "events")
+    micros, zero = F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0.0)
+    rows = ev.select(micros.cast("string").alias("timestamp"), F.col("event_id").cast("string").alias("mmsi_str"), F.col("value").alias("lon_raw"),
+                     *[zero.alias(c) for c in ("lat_raw", "heading_raw", "speed_raw", "course_raw")], F.floor(micros / F.lit(864_000_000_000)).alias("part"))
+    first = rows.agg(F.min("part")).scalar()
+    part = F.least(F.col("part") - first, F.lit(2))
+    at = F.col("timestamp").cast("bigint")
+    number = ingest.sequenced(f"{root}/out", ["at", "event_id"], F.floor(F.col("at") / F.lit(86_400_000_000)), F.floor(F.col("at") / F.lit(600_000_000)), start=1000)
+
+    def run(stream):
+        ingest.run_available(stream.select(at.alias("at"), F.col("mmsi_str").cast("bigint").alias("event_id")), f"{root}/ckpt", number)
+
+    ingest.feed_csv(spark, [rows.where(part == c) for c in range(3)], f"{root}/in", run)
+    return spark.read.parquet(f"{root}/out/rows").select("event_id", "global_lsn")
+
+
 LATEST = """SELECT vessel_id_int, timestamp_sec AS last_timestamp, r6(speed_raw) AS last_speed, global_lsn FROM raw
 QUALIFY row_number() OVER (PARTITION BY vessel_id_int ORDER BY global_lsn DESC) = 1"""
 
@@ -45,18 +65,27 @@ def _state_columns(df):
     return df.select("vessel_id_int", "last_timestamp", r6(F.col("last_speed")).alias("last_speed"), "global_lsn")
 
 
+def _run_gate(spark, sf, order=(0, 1, 2), retention=None):
+    """Run the keyed state over the parts; verdicts go to ``gate``, the state stays in ``ckpt``."""
+    root = shared_folder(spark, "latest")
+
+    def run(stream):
+        ingest.run_available(latest.gate_latest(stream, retention), f"{root}/ckpt", ingest.numbered_batches(f"{root}/gate"))
+
+    ingest.feed(spark, _chunks(views.raw_tracks(spark, sf).drop("datetime"), order), f"{root}/in", run)
+    return root
+
+
 @query("m2_state_upsert", with_blocks(["raw"], LATEST))
 def m2(spark, sf):
-    root = _run(spark, sf, lambda r: ingest.upsert_state(StateTable(spark, f"{r}/state")), order=(0, 2, 1))
-    return _state_columns(StateTable(spark, f"{root}/state").after(2))
+    return _state_columns(latest.stored_latest(spark, f"{_run_gate(spark, sf, (0, 2, 1))}/ckpt"))
 
 
 @query("m3_out_of_order_gate", with_blocks(["raw"], """SELECT vessel_id_int, batch_no::INT AS batch_no, global_lsn,
   CASE WHEN global_lsn >= coalesce(max(global_lsn) OVER (PARTITION BY vessel_id_int ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS accepted
 FROM batches""", extra=[f"""batches AS (SELECT vessel_id_int, CASE {CHUNK_SQL} WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS batch_no, max(global_lsn) AS global_lsn FROM raw GROUP BY 1, 2)"""]))
 def m3(spark, sf):
-    root = _run(spark, sf, lambda r: ingest.upsert_state(StateTable(spark, f"{r}/state"), f"{r}/gate"), order=(0, 2, 1))
-    return spark.read.parquet(f"{root}/gate")
+    return spark.read.parquet(f"{_run_gate(spark, sf, (0, 2, 1))}/gate")
 
 
 GHOSTS = [f"""ch AS (SELECT *, {CHUNK_SQL} AS c FROM tracks)""",
@@ -87,11 +116,10 @@ def m5(spark, sf):
 FROM (SELECT * FROM raw WHERE {CHUNK_SQL} = 2) b LEFT JOIN (SELECT * FROM raw WHERE {CHUNK_SQL} < 2
   QUALIFY row_number() OVER (PARTITION BY vessel_id_int ORDER BY global_lsn DESC) = 1) s USING (vessel_id_int)"""))
 def j3(spark, sf):
-    from wakeline.streaming.state import tails
-
-    first, second, third = _chunks(views.raw_tracks(spark, sf))
-    state = tails(first.unionByName(second))
-    present = third.select("vessel_id_int").distinct()
+    """The third part looks up what the stream stored after the first two."""
+    root = _run_gate(spark, sf)
+    state = latest.stored_latest(spark, f"{root}/ckpt", batch=1)
+    present = _chunks(views.raw_tracks(spark, sf))[2].select("vessel_id_int").distinct()
     return present.join(state, "vessel_id_int", "left").select(
         "vessel_id_int", "last_timestamp", r6(F.col("last_speed")).alias("last_speed"))
 
@@ -101,8 +129,7 @@ TTL = 2 * DAY
 
 @query("m6_state_expiry", with_blocks(["raw"], f"SELECT * FROM ({LATEST}) WHERE last_timestamp >= (SELECT max(last_timestamp) FROM ({LATEST})) - {TTL}"))
 def m6(spark, sf):
-    root = _run(spark, sf, lambda r: ingest.upsert_state(StateTable(spark, f"{r}/state"), retention=TTL))
-    return _state_columns(StateTable(spark, f"{root}/state").after(2))
+    return _state_columns(latest.stored_latest(spark, f"{_run_gate(spark, sf, retention=TTL)}/ckpt"))
 
 
 @query("m7_cold_start", with_blocks(TRIPS, f"SELECT global_lsn, trip_id FROM trips WHERE {CHUNK_SQL} = 2"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.operators import kinematics, segmentation
+from wakeline.operators import kinematics, segmentation, slices
 from wakeline.operators.clean import without_carried_rows
+from wakeline.sources import positions
 from wakeline.streaming import state as states
 from wakeline.streaming.state import StateTable
 
@@ -30,22 +31,6 @@ def numbered_batches(out: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def upsert_state(table: StateTable, out: str | None = None, retention: int | None = None) -> Callable[[DataFrame, int], None]:
-    """Merge each batch's tails into the state; optionally log the gate and expire old vessels."""
-
-    def handle(batch: DataFrame, number: int) -> None:
-        old, new = table.before(number), states.tails(batch)
-        state = states.merged(old, new)
-        if retention is not None:
-            state = states.without_expired(state, retention)
-        table.save(state, number)
-        if out:
-            states.gate(old, new).select("vessel_id_int", "global_lsn", "accepted").write.mode("overwrite").parquet(
-                f"{out}/batch_no={number}")
-
-    return handle
-
-
 def with_carried_rows(batch: DataFrame, state: DataFrame, limit: int = CARRY_LIMIT_SEC) -> DataFrame:
     """Add the last known row of each vessel in the batch if it is recent enough.
 
@@ -110,3 +95,29 @@ def feed(spark: SparkSession, chunks: list[DataFrame], folder: str, run: Callabl
     for chunk in chunks:
         chunk.write.mode("append").parquet(folder)
         run(spark.readStream.schema(chunk.schema).parquet(folder))
+
+
+def feed_csv(spark: SparkSession, chunks: list[DataFrame], folder: str, run: Callable[[DataFrame], None]) -> None:
+    """The same for position messages that arrive as CSV files."""
+    for chunk in chunks:
+        chunk.select(*positions.RAW_COLUMNS).write.mode("append").csv(folder)
+        run(positions.stream_positions(spark, folder))
+
+
+def sequenced(out: str, order: Sequence[str], coarse: Column, fine: Column, start: int = 1) -> Callable[[DataFrame, int], None]:
+    """Give each arriving row a gap-free number that continues from batch to batch.
+
+    A batch is numbered by prefix counts of its slices (see ``slices.dense_sequence``) from
+    the total that the batch before it stored, and stores its own: a replayed batch reads the
+    same total and rewrites the same numbers, whatever came after.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows, totals = f"{out}/rows/batch_no={number}", f"{out}/totals"
+        base = start if number == 0 else spark.read.parquet(f"{totals}/batch_no={number - 1}").first()["next"]
+        slices.dense_sequence(batch, order, "global_lsn", coarse, fine, start=base).write.mode("overwrite").parquet(rows)
+        written = spark.read.parquet(rows).agg((F.lit(base) + F.count(F.lit(1))).cast("bigint").alias("next"))
+        written.write.mode("overwrite").parquet(f"{totals}/batch_no={number}")
+
+    return handle

@@ -25,7 +25,6 @@ STATE = T.StructType([
     T.StructField("last_seen_epoch", T.LongType()),
     T.StructField("global_lsn", T.LongType()),
 ])
-RETENTION_SEC = 90 * 86_400
 
 
 @dataclass(frozen=True)
@@ -74,16 +73,3 @@ def merged(old: DataFrame, new: DataFrame, by: str = "global_lsn") -> DataFrame:
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     best = both.groupBy("vessel_id_int").agg(F.max(F.struct(by, "_new", *rest)).alias("s"))
     return best.select("vessel_id_int", "s.*").select(*STATE.names)
-
-
-def gate(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Whether each incoming tail is applied or rejected as out of order."""
-    stored = old.select("vessel_id_int", F.col("global_lsn").alias("_stored"))
-    ok = F.col("_stored").isNull() | (F.col("global_lsn") >= F.col("_stored"))
-    return new.join(stored, "vessel_id_int", "left").withColumn("accepted", ok.cast("int")).drop("_stored")
-
-
-def without_expired(state: DataFrame, retention: int = RETENTION_SEC) -> DataFrame:
-    """Forget vessels not seen within ``retention`` of the newest one."""
-    newest = state.agg(F.max("last_seen_epoch")).scalar()
-    return state.where(F.col("last_seen_epoch") >= newest - retention)
