@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import scoring
 from wakeline.operators.quantiles import exact_percentiles
 from wakeline.registry import FRONTIER_PERCENTILES, SCENARIOS, TIERS, inline
+from wakeline.session import stored
 
 CALIBRATION_PERCENTILE = 0.995
 CHANNELS = ("recon", "ann")
-ROWS_PER_RANGE = 1_000_000
 
 
 def aggregated(df: DataFrame, keys: Sequence[str], score: str, mean_weight: float = 0.7, peak: float = 0.95,
@@ -82,20 +81,19 @@ def confusion(df: DataFrame, label: str, predicted: Column, keys: Sequence[str]
     return counts.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def score_curve(df: DataFrame, label: str, score: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def score_curve(df: DataFrame, label: str, score: str, ranges: int | None = None) -> DataFrame:
     """Distinct scores with their positives, negatives and the counts at or above them.
 
-    The scores are cut into ranges of about ``rows_per_range`` rows (approximate
-    quantiles, a number a range on the driver); counts run inside a range and the
-    small table of range totals shifts them, so no task sorts all scores.
+    The table is scanned once, to count per distinct score.  The distinct scores are dealt to
+    partitions by range and stored with the number of theirs; counts run inside a partition
+    and the totals of the partitions above shift them, so no task sorts all scores and no
+    quantile passes through the driver.  ``ranges`` fixes the number of partitions.
     """
     rows = df.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("score"))
-    slices = -(-rows.count() // rows_per_range)
-    at = [i / slices for i in range(1, max(slices, 2))]
-    cuts = sorted(set(rows.approxQuantile("score", at, 0.25 / slices))) or [0.0]
-    ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="score", outputCol="_slice")
-    counts = rows.groupBy("score").agg(F.sum("_y").alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-    counts = ranges.transform(counts)
+    counts = stored(rows.groupBy("score").agg(F.sum("_y").alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")), "scores")
+    dealt = counts.repartitionByRange(*([ranges] if ranges else []), "score")
+    # stored, because a range partitioning that is computed again may cut elsewhere
+    counts = stored(dealt.withColumn("_slice", F.spark_partition_id()), "score-ranges")
     inside = Window.partitionBy("_slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     running = counts.withColumns({"_tp": F.sum("pos").over(inside), "_fp": F.sum("neg").over(inside)})
     totals = counts.groupBy("_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).withColumn("_all", F.lit(0))
@@ -106,7 +104,7 @@ def score_curve(df: DataFrame, label: str, score: str, rows_per_range: int = ROW
         "_slice", F.coalesce(F.sum("_p").over(above), zero).alias("_tp0"),
         F.coalesce(F.sum("_n").over(above), zero).alias("_fp0"),
         F.sum("_p").over(everything).alias("positives"), F.sum("_n").over(everything).alias("negatives"))
-    return running.join(F.broadcast(totals), "_slice").select(
+    return running.join(totals, "_slice").select(
         "score", "pos", "neg", (F.col("_tp") + F.col("_tp0")).alias("tp"),
         (F.col("_fp") + F.col("_fp0")).alias("fp"), "positives", "negatives")
 
