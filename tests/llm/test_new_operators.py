@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import DOCS, LOWER, docs
-from wakeline.llm import phrases, shared_lines, whitening
+from wakeline.llm import near_duplicates, phrases, shared_lines, whitening
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -229,3 +229,51 @@ def test_polarised_sums_equal_products(monkeypatch):
         v = whitening.covariance(50, [t - 50 * f for t, f in zip(s, floor, strict=True)], whitening._squares(floor)(x))
         y = 50 * x.astype(object) - np.asarray(s, object)
         assert all(v[i][j] == Fraction(int((y[:, i] * y[:, j]).sum()), 50**3) for i in range(4) for j in range(4))
+
+
+def test_texts_just_below_the_limit_make_few_pairs(spark, monkeypatch):
+    """500 texts, each with edits of its own, a little below the limit to their original and further
+    from each other: nobody is paired; two families among them are found whole."""
+    rng = random.Random(12)
+    base = [f"t{k}" for k in range(300)]
+
+    def edited(words, n, tag):
+        out = list(words)
+        for at in rng.sample(range(2, 298), n):
+            out[at] = f"{tag}{rng.randrange(40)}"
+        return " ".join(out)
+
+    rows = [(0, " ".join(base), "a")] + [(1 + i, edited(base, 6, "e"), "a") for i in range(500)]
+    second = edited(base, 12, "s").split(" ")
+    rows += [(1000 + i, edited(second, 1, "q"), "a") for i in range(30)]
+    seen, ok = {}, near_duplicates.kept
+
+    def counted(df, purpose):
+        out = ok(df, purpose)
+        if purpose in ("outside", "met", "pairs"):
+            seen[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "kept", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.components(docs(spark, rows), 85).collect()}
+    sets = {}
+    for i, text, _ in rows:
+        w = text.split(" ")
+        sets[i] = frozenset(tuple(w[k: k + 5]) for k in range(len(w) - 4))
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1:]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    assert got == {i: find(i) for i in ids}
+    # 140,000 pairs share tables; a few are met by residue, and each member once by each further centre
+    assert seen["pairs"] < len(rows) and seen["met"] <= near_duplicates.FURTHER_CENTRES * seen["outside"]
