@@ -126,9 +126,12 @@ def _points(spark, n, d, seed, cohorts=2, copies=False):
     return df, m, c, v
 
 
-@pytest.mark.parametrize("metric,copies", [("cosine", False), ("euclidean", False), ("cosine", True)])
-def test_neighbours_equal_brute_force(spark, monkeypatch, metric, copies):
+@pytest.mark.parametrize("metric,copies,fan", [("cosine", False, 256), ("euclidean", False, 4), ("cosine", True, 4)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, metric, copies, fan):
+    """Trees of one and of two levels, cells and groups cut small."""
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(neighbours, "FAN", fan)
+    monkeypatch.setattr(neighbours, "FIRST_ROUND", 1)
     df, m, c, v = _points(spark, 120, 8, 11, copies=copies)
     got = {}
     for r in neighbours.nearest(df, df, 4, metric, other_vessel=True, cell_rows=10).collect():
@@ -144,6 +147,39 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, metric, copies):
             assert [x[0] for x in have] == [w[1] for w in want]
 
 
+def test_visited_share_of_pairs_falls_as_rows_grow(spark, monkeypatch):
+    """Points of two dimensions: a query meets a bounded number of leaves, so the share of all pairs shrinks."""
+    visit, met = neighbours._visit, []
+
+    def counting(visits, corpus, search, out=neighbours.HIT):
+        if out == neighbours.HIT and "vessel" in corpus.columns:
+            size = lambda df, n: df.groupBy("cohort", "cell").agg(F.count(F.lit(1)).alias(n))
+            pairs = size(visits, "q").join(size(corpus, "c"), ["cohort", "cell"]).agg(F.sum(F.col("q") * F.col("c"))).first()[0]
+            met.append(pairs or 0)
+        return visit(visits, corpus, search, out)
+
+    monkeypatch.setattr(neighbours, "_visit", counting)
+    shares = []
+    for n in (256, 1_024, 4_096):
+        met.clear()
+        m = np.random.default_rng(n).uniform(0, 1, (n, 2))
+        df = frame(spark, [(i, 0, i, [float(x) for x in m[i]]) for i in range(n)], "id long, cohort int, vessel long, vector array<double>")
+        got = neighbours.nearest(df.where("id % 8 = 0"), df, 3, "euclidean", other_id=True, cell_rows=40)
+        assert got.groupBy("query_id").count().where("count = 3").count() == n // 8
+        shares.append(sum(met) / (n * n / 8))
+    assert shares[0] > 2 * shares[1] and shares[1] > 2 * shares[2]
+
+
+def test_neighbours_without_a_cohort_or_rows(spark):
+    schema = "id long, cohort int, vessel long, vector array<double>"
+    some = frame(spark, [(i, 0, i, [1.0, float(i)]) for i in range(30)], schema)
+    other = frame(spark, [(99, 7, 1, [1.0, 1.0])], schema)
+    for cell_rows in (5, 100):
+        assert neighbours.nearest(other, some, 2, cell_rows=cell_rows).count() == 0
+        assert neighbours.nearest(some, some.limit(0), 2, cell_rows=cell_rows).count() == 0
+        assert neighbours.nearest(some, some, 40, cell_rows=cell_rows).count() == 900
+
+
 def test_neighbours_tie_goes_to_lower_id(spark):
     df = frame(spark, [(i, 0, i, [1.0, 0.0]) for i in range(6)], "id long, cohort int, vessel long, vector array<double>")
     got = values(neighbours.nearest(df, df, 2, other_id=True).select("query_id", "rank", "neighbour_id"), "query_id", "rank")
