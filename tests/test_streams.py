@@ -1,11 +1,13 @@
 """State, carried rows and online operators."""
 
 import random
+from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import frame, random_tracks, values
+from tests.helpers import frame, plan_text, random_tracks, values
 from wakeline.operators import drift, segmentation
 from wakeline.session import shared_folder, stored
 from wakeline.sources import lake, positions
@@ -24,8 +26,6 @@ def test_drift_fixture(spark):
 @pytest.mark.parametrize("piece_rows", [7, 60, 1000])
 def test_long_histories_are_split_exactly(spark, piece_rows):
     """Pieces equal the plain fold, whatever their size."""
-    import numpy as np
-
     rng = np.random.default_rng(3)
     rows = [(i, int(rng.random() < 0.7), i, [float(x) for x in rng.normal(0.5, 1, 4)]) for i in range(900)]
     df = frame(spark, rows, "embedding_id long, vessel_id_int long, timestamp_sec long, embedding array<double>")
@@ -46,6 +46,35 @@ def test_long_histories_are_split_exactly(spark, piece_rows):
             assert got[i]["threshold"] == pytest.approx(limit, abs=1e-9)
 
 
+@pytest.mark.parametrize("buffer,slice_rows", [(7, 3), (7, 11), (1, 5), (400, 50)])
+def test_shared_buffer_equals_a_deque(spark, buffer, slice_rows):
+    """One buffer over all vessels; one vessel holds most rows and times tie."""
+    rng = random.Random(buffer)
+    rows = [(i, 0 if rng.random() < .6 else rng.randrange(9), rng.randrange(60), rng.random()) for i in range(150)]
+    seen_of, full = {}, []
+    for i, v, t, d in sorted(rows, key=lambda r: (r[2], r[0])):
+        full.append((i, v, t, seen_of.get(v, 0), d if v in seen_of else 0.0))
+        seen_of[v] = seen_of.get(v, 0) + 1
+    recent, want = deque(maxlen=buffer), {}
+    for i, _, _, row_no, d in full:
+        if row_no:
+            recent.append(d)
+        limit = float(np.percentile(list(recent), 95)) if len(recent) >= 5 else drift.BASE_THRESHOLD
+        want[i] = (limit, int(row_no > 0 and d > limit))
+    df = frame(spark, full, "embedding_id long, vessel_id_int long, timestamp_sec long, row_no long, drift double")
+    out = drift.shared_threshold(df, buffer, 5, slice_rows)
+    got = {r["embedding_id"]: (r["threshold"], r["outlier"]) for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == pytest.approx(want[i][0]) and got[i][1] == want[i][1] for i in want)
+
+
+def test_a_pass_reads_the_folder_of_its_piece(spark):
+    rows = frame(spark, [(i, i // 4) for i in range(12)], "row_no long, piece long")
+    one = stored(rows, "pieces", ["piece"]).where("piece = 1")
+    assert len({r[0] for r in one.select(F.input_file_name()).collect()}) <= 4
+    assert "PartitionFilters: [isnotnull(piece" in plan_text(one)
+
+
 def test_rolling_percentile():
     import numpy as np
 

@@ -230,3 +230,18 @@ def dense_sequence(df: DataFrame, order: Sequence[str], out: str, coarse: Column
         .join(offsets, ["_coarse", "_fine"])
         .select(*df.columns, (F.lit(start) + F.col("_offset") + F.col("_rn") - 1).cast("bigint").alias(out))
     )
+
+
+def ranged_sum(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Cumulative sum over one total order of all rows, current row included.
+
+    Rows are range-partitioned by ``order`` and stored with their partition; the totals of the
+    partitions before, one number each, shift the sums within.  ``order`` must be unique.
+    """
+    rows = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    earlier = Window.partitionBy("_all").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(F.sum(value).alias("_total")).withColumn("_all", F.lit(0))
+    base = totals.select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumn("_running", F.sum(value).over(inside)).join(base, "_part")
+    return running.select(*df.columns, (F.col("_base") + F.col("_running")).alias(out))

@@ -35,3 +35,15 @@ UNION ALL SELECT id, r6(0.45::DOUBLE), 0 FROM f WHERE n = 1""")
 def w23(spark, sf):
     out = drift.prototype_drift(views.vectors(spark, sf), buffer=6, min_seen=4)
     return out.select("embedding_id", r6(F.col("threshold")).alias("threshold"), "outlier")
+
+
+SHARED = FOLD + """, d AS (SELECT id, drift, row_number() OVER (ORDER BY id) AS m, quantile_cont(drift, 0.95) OVER w AS q FROM f WHERE n > 1
+  WINDOW w AS (ORDER BY id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+s AS (SELECT id, CASE WHEN m >= 20 THEN q ELSE 0.45 END AS threshold FROM d)"""
+
+
+@query("w23_shared_threshold", SHARED + """ SELECT f.id AS embedding_id, r6(coalesce(s.threshold, 0.45::DOUBLE)) AS threshold,
+  (f.n > 1 AND f.drift > coalesce(s.threshold, 0.45))::INT AS outlier FROM f ASOF LEFT JOIN s ON f.id >= s.id""")
+def w23_shared(spark, sf):
+    out = drift.prototype_drift(views.vectors(spark, sf), buffer=100, min_seen=20, shared=True)
+    return out.select("embedding_id", r6(F.col("threshold")).alias("threshold"), "outlier")

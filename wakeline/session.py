@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,12 +90,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/wakeline/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stored(df: DataFrame, purpose: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders ``by`` columns, and read it back.
 
     For results that several later steps read: they scan a column-pruned table
     instead of repeating the work, and a lost executor costs no recomputation.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
