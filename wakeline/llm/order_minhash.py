@@ -126,20 +126,21 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda t: F.lower(F.lpad(F.hex(t), 8, "0"))), "")
 
 
-def with_next(df: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(df: DataFrame, carried: list[str], plain: DataFrame) -> DataFrame:
     """Add ``next_<c>`` of the row with the next doc_id (after the last: the first).
 
-    Ids are cut into slices; the first row of each slice also visits the slice before as a
+    ``plain`` has the doc_id and text that ``df`` has, and nothing that is dear to compute: the
+    bounds and the first rows are read from it.  Ids are cut into slices; the first row of each slice also visits the slice before as a
     guest, so one pass over the wide rows suffices.  The table of first rows has at most
     ``MAX_SLICES`` narrow rows.
     """
-    span = df.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    span = plain.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, hi = (span["lo"] or 0), (span["hi"] or 0)
     width = max(IDS_PER_SLICE, -(-(hi - lo + 1) // MAX_SLICES))
     # null ids come first, in a slice of their own
     slice_of = F.coalesce(F.floor((F.col("doc_id") - lo) / width).cast("bigint"), F.lit(-1).cast("bigint"))
     tie = F.xxhash64("text")
-    heads = df.groupBy(slice_of.alias("_slice")).agg(F.min(F.struct(F.col("doc_id"), tie.alias("tie"))).alias("head"))
+    heads = plain.groupBy(slice_of.alias("_slice")).agg(F.min(F.struct(F.col("doc_id"), tie.alias("tie"))).alias("head"))
     order = Window.orderBy("_slice")
     edge = Window.partitionBy()
     heads = heads.select(
@@ -163,7 +164,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     (or all) of the next document by doc_id.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(fingerprinted(df, "text", "_own"), ["text", "_own"])
+    df = with_next(fingerprinted(df, "text", "_own"), ["text", "_own"], df)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     df = bind(df, "edited", F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)))
