@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import frame, plan_text, random_tracks, values
-from wakeline.operators import kinematics, quality, segmentation
+from wakeline.operators import kinematics, quality, segmentation, slices
 from wakeline.operators.slices import Stitch, Track, dense_sequence, fitted, running_sum, stitch
 from wakeline.plans import ingest
 
@@ -69,6 +69,26 @@ def test_crowded_slices_are_cut_for_their_vessel_alone(spark):
     assert fitted(df.limit(0), by_time(500)).dense.count() == 0
 
 
+def test_trips_and_runs_fit_their_slices(spark, monkeypatch):
+    """Over half of the rows are one vessel's, within one slice; no slice keeps much more than the limit."""
+    df = spark.createDataFrame(random_tracks(random.Random(8), rows=400, span=20_000))
+    calls = {
+        "trips": lambda: segmentation.assign_trips(df).select("global_lsn", "trip_id"),
+        "class": lambda: segmentation.assign_class_trips(df).select("global_lsn", "static_seconds", "trip_no"),
+    }
+    whole = {n: values(f(), "global_lsn") for n, f in calls.items()}
+    monkeypatch.setattr(slices, "ROWS_PER_SLICE", 20)
+    stitched, largest = segmentation.stitch, []
+
+    def watched(rows, track, what):
+        largest.append(track.sliced(rows).groupBy(*track.key, "_slice").count().agg({"count": "max"}).first()[0])
+        return stitched(rows, track, what)
+
+    monkeypatch.setattr(segmentation, "stitch", watched)
+    assert {n: values(f(), "global_lsn") for n, f in calls.items()} == whole
+    assert len(largest) == 2 and max(largest) <= 50
+
+
 def test_trip_counters(spark):
     rows = [(0, 0, 5.0), (1, 600, 5.0), (2, 3000, 5.0), (3, 3100, 0.5)]
     df = frame(spark, [(1, t, lsn, s) for lsn, t, s in rows], "vessel_id_int long, timestamp_sec long, global_lsn long, speed_raw double")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.operators.slices import BY_TIME, Stitch, Track, running_sum, stitch
+from wakeline.operators.slices import BY_TIME, Stitch, Track, fitted, running_sum, stitch
 from wakeline.registry import CLASS_LIMITS, DEFAULT_LIMITS
 from wakeline.session import stored
 
@@ -25,10 +25,13 @@ def trip_label(counter: Column) -> Column:
     return F.concat_ws("_", F.col("vessel_id_int").cast("string"), counter.cast("string"))
 
 
-def assign_trips(df: DataFrame, track: Track = BY_TIME, gap: int = TRIP_GAP_SEC,
+def assign_trips(df: DataFrame, track: Track | None = None, gap: int = TRIP_GAP_SEC,
                  offset: Column | None = None) -> DataFrame:
-    """Add ``is_static``, ``trip_no`` and ``trip_id`` = vessel, underscore, counter."""
-    rows = stitch(df, track, Stitch(
+    """Add ``is_static``, ``trip_no`` and ``trip_id`` = vessel, underscore, counter.
+
+    Without a ``track`` its slices are fitted to the busiest vessels, here and below.
+    """
+    rows = stitch(df, track or fitted(df, BY_TIME), Stitch(
         carry=["timestamp_sec", "speed_raw"], lags=0,
         counters={"trip_no": lambda cur, prev: trip_break(cur, prev, gap)}))
     counter = F.col("trip_no") if offset is None else F.col("trip_no") + offset
@@ -47,7 +50,7 @@ def class_limit(which: int) -> Column:
     return chosen
 
 
-def static_runs(df: DataFrame, track: Track = BY_TIME, by_class: bool = True) -> DataFrame:
+def static_runs(df: DataFrame, track: Track | None = None, by_class: bool = True) -> DataFrame:
     """Add ``is_static``, the run number and the seconds spent static in the run.
 
     The run's seconds are the sum of its time steps, the step into the run
@@ -58,7 +61,7 @@ def static_runs(df: DataFrame, track: Track = BY_TIME, by_class: bool = True) ->
     marked = df.withColumn("is_static", (F.col("speed_raw") < floor).cast("int"))
     changed = lambda cur, prev: F.coalesce(cur["is_static"] != prev["is_static"], F.lit(True))
     start = lambda cur, prev: F.coalesce(prev["timestamp_sec"], cur["timestamp_sec"])
-    rows = stitch(marked, track, Stitch(
+    rows = stitch(marked, track or fitted(df, BY_TIME), Stitch(
         carry=["timestamp_sec", "is_static"], lags=1,
         counters={"static_run": changed}, fills={"_run_start": (changed, start)}))
     seconds = F.when(F.col("is_static") == 1, F.col("timestamp_sec") - F.col("_run_start")).otherwise(F.lit(0))
@@ -70,12 +73,13 @@ def static_runs(df: DataFrame, track: Track = BY_TIME, by_class: bool = True) ->
     )
 
 
-def assign_class_trips(df: DataFrame, track: Track = BY_TIME, gap: int = TRIP_GAP_SEC,
+def assign_class_trips(df: DataFrame, track: Track | None = None, gap: int = TRIP_GAP_SEC,
                        offsets: DataFrame | None = None) -> DataFrame:
     """Class-aware trips: a gap, or a static run longer than the class allows.
 
     Every row past the limit breaks again, as published.
     """
+    track = track or fitted(df, BY_TIME)
     # the second stitch reads its input twice: the first one runs once
     runs = stored(static_runs(df, track), "static-runs")
     late = (F.col("time_step") > gap) | (F.col("static_seconds") > class_limit(1))

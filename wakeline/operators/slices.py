@@ -56,14 +56,15 @@ class Track:
         return rows.withColumn("_slice", F.col("_even") * F.lit(MOST_PARTS) + F.coalesce(part, F.lit(0))).drop("_even", "_parts")
 
 
-def fitted(df: DataFrame, track: Track, rows_per_slice: int = ROWS_PER_SLICE) -> Track:
-    """The track with its crowded slices cut into parts of about ``rows_per_slice`` rows.
+def fitted(df: DataFrame, track: Track, rows_per_slice: int | None = None) -> Track:
+    """The track with its crowded slices cut into parts of about ``rows_per_slice`` (``ROWS_PER_SLICE``) rows.
 
     One column-pruned count, combined before the shuffle.  Only slices above the
     limit are listed, at most one for every ``rows_per_slice`` rows of the table, so
     the list is a few megabytes even for a trillion rows.  Other vessels keep their
     slices.  The result never depends on the cut, only the size of the tasks does.
     """
+    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     even = replace(track, dense=None)
     sizes = even.sliced(df.select(*track.key, track.order[0])).groupBy(*track.key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     parts = F.least(F.ceil(F.col("_n") / F.lit(rows_per_slice)), F.lit(MOST_PARTS)).cast("bigint")

@@ -67,7 +67,7 @@ def continued_trips(batch: DataFrame, state: DataFrame) -> DataFrame:
         F.col("head"), {"timestamp_sec": F.col("last_timestamp"), "speed_raw": F.col("last_speed")})
     offset = F.coalesce(F.col("trip_id_offset") + seam.cast("bigint"), F.lit(0))
     offsets = heads.join(state, "vessel_id_int", "left").select("vessel_id_int", offset.alias("trip_offset"))
-    rows = segmentation.with_trip_offset(segmentation.assign_trips(batch), offsets)
+    rows = segmentation.with_trip_offset(segmentation.assign_trips(batch, slices.BY_TIME), offsets)
     rows = rows.withColumn("trip_no", F.col("trip_no") + F.col("trip_offset")).drop("trip_offset")
     return rows.withColumn("trip_id", segmentation.trip_label(F.col("trip_no")))
 
