@@ -7,7 +7,7 @@ import importlib
 from wakeline.plans.catalog.base import ORACLES, QUERIES
 
 TOPICS = [
-    "cleaning", "motion", "segments", "places", "weather", "ledgers", "grids", "neighbours", "drift", "decisions", "scorers", "lake", "streams",
+    "cleaning", "motion", "segments", "places", "weather", "ledgers", "grids", "neighbours", "drift", "decisions", "scorers", "lake", "streams", "evaluation",
 
 ]
 
