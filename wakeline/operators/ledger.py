@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import scoring
-from wakeline.operators.quantiles import exact_percentiles
+from wakeline.operators.quantiles import wide_percentiles
 from wakeline.registry import (
     DERIVED_TARGETS,
     MIN_TARGET_SCALE,
@@ -51,7 +51,7 @@ def _center_scale(floor: float) -> list[Column]:
 
 def global_scales(df: DataFrame, features: Sequence[str], iqr_floor: float = 1e-5) -> DataFrame:
     """Median and interquartile range per feature over all rows."""
-    stats = exact_percentiles(long_form(df, features), ["feature"], "value", QUARTILES)
+    stats = wide_percentiles(df.withColumn("_all", F.lit(0)), "_all", features, QUARTILES)
     return stats.select("feature", *_center_scale(iqr_floor))
 
 
@@ -60,14 +60,14 @@ def cohort_scales(df: DataFrame, features: Sequence[str], cohort: str = "vessel_
 
     A cohort with fewer than 50 rows, and a feature without values in its
     cohort, copy the entry of everyone.  Both levels come from one pass: each
-    value is counted under its own cohort and under 0.
+    row counts under its own cohort and under 0.
     """
     own = F.col(cohort).cast("int")
-    known = F.col("cohort").between(1, max(SUPERCLASS.values()))
-    rows = long_form(df.withColumn("cohort", own), features, ["cohort"])
+    known = F.col("_own").between(1, max(SUPERCLASS.values()))
+    rows = df.select(own.alias("_own"), *dict.fromkeys(features))
     both = rows.withColumn("cohort", F.explode(
-        F.when(known, F.array(F.col("cohort"), F.lit(0))).otherwise(F.array(F.lit(0)))))
-    stats = exact_percentiles(both, ["cohort", "feature"], "value", QUARTILES).select(
+        F.when(known, F.array(F.col("_own"), F.lit(0))).otherwise(F.array(F.lit(0)))))
+    stats = wide_percentiles(both, "cohort", features, QUARTILES).select(
         "cohort", "feature", *_center_scale(1e-5))
     sizes = df.groupBy(own.alias("cohort")).agg(F.count(F.lit(1)).alias("rows"))
     large = stats.join(sizes.where(F.col("rows") >= MIN_COHORT_ROWS).select("cohort").unionByName(

@@ -68,6 +68,14 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
                  F.when(F.col("_x") >= F.col("_w.lo"), F.col("_x")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    return _at_ranks(counted, groups, len(probs))
+
+
+def _at_ranks(counted: DataFrame, groups: list[str], wanted: int) -> DataFrame:
+    """Percentiles from ``counted``: groups, n, i (which percentile), k and frac (its rank), _strip, _v and _c.
+
+    Strip -1 holds how many values lie below the bracket, the others its values with their counts.
+    """
     strips = counted.groupBy(*groups, "i", "_strip").agg(F.sum("_c").alias("_in_strip"))
     below = Window.partitionBy(*groups, "i").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
     strips = strips.withColumn("_below", F.coalesce(F.sum("_in_strip").over(below), F.lit(0))).drop("_in_strip")
@@ -87,4 +95,58 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
         F.col("frac") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac")).otherwise(F.col("_a"))
     picked = picked.withColumn("_q", result.cast("double"))
     return picked.groupBy(*groups, "n").agg(
-        F.array(*[F.max(F.when(F.col("i") == i, F.col("_q"))) for i in range(len(probs))]).alias("q"))
+        F.array(*[F.max(F.when(F.col("i") == i, F.col("_q"))) for i in range(wanted)]).alias("q"))
+
+
+#: Brackets of wide tables: so far from the wanted rank, as a share of the group.
+WIDE_MARGIN = 0.001
+
+
+def wide_percentiles(df: DataFrame, group: str, features: Sequence[str], probs: Sequence[float],
+                     accuracy: int = ACCURACY) -> DataFrame:
+    """``group, feature, n, q``: exact percentiles of many columns for a few groups.
+
+    Rows stay wide: one sketch a column and group brackets all its ranks, one aggregate counts
+    what lies below the brackets, and only values inside a bracket become rows of their own
+    (a five-hundredth of a large group for each percentile, all of a small one).  Null and NaN
+    are left out; a column without values in a group has no row.
+    """
+    features, last = list(dict.fromkeys(features)), len(probs)
+    value = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(F.col(group), *[value(f).alias(f"_f{j}") for j, f in enumerate(features)])
+    shares = [max(p - WIDE_MARGIN, 0.0) for p in probs] + [min(p + WIDE_MARGIN, 1.0) for p in probs]
+    sketches = rows.groupBy(group).agg(*[F.struct(
+        F.count(f"_f{j}").alias("n"), F.min(f"_f{j}").alias("lo"), F.max(f"_f{j}").alias("hi"),
+        F.percentile_approx(f"_f{j}", shares, accuracy).alias("q")).alias(f"_s{j}") for j in range(len(features))])
+    # a bracket reaches two ranks to either side in groups of this size
+    small = lambda s: s["n"] <= F.lit(int(4 / WIDE_MARGIN))
+
+    def bracket(j: int, i: int):
+        s = F.col(f"_s{j}")
+        return F.struct(
+            F.when(small(s) | F.lit(shares[i] == 0.0), s["lo"]).otherwise(s["q"][i]).alias("lo"),
+            F.when(small(s) | F.lit(shares[last + i] == 1.0), s["hi"]).otherwise(s["q"][last + i]).alias("hi"))
+
+    each = [(j, i) for j in range(len(features)) for i in range(last)]
+    brackets = sketches.select(group, *[F.array(*[bracket(j, i) for i in range(last)]).alias(f"_b{j}") for j in range(len(features))])
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = sketches.select(group, F.explode(F.array(*[
+        F.struct(F.lit(j).alias("_j"), F.col(f"_s{j}.n").alias("n")) for j in range(len(features))])).alias("e")).select(
+        group, "e._j", "e.n").where("n > 0").select(group, "_j", "n", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.floor(a).cast("bigint").alias("k"), (a - F.floor(a)).alias("frac")) for i, a in enumerate(at)])).alias("e")).select(
+        group, "_j", "n", "e.i", "e.k", "e.frac")
+
+    tagged = rows.join(F.broadcast(brackets), group)
+    x, lo, hi = lambda j: F.col(f"_f{j}"), lambda j, i: F.col(f"_b{j}")[i]["lo"], lambda j, i: F.col(f"_b{j}")[i]["hi"]
+    below = tagged.groupBy(group).agg(*[F.count_if(x(j) < lo(j, i)).alias(f"_n{j}_{i}") for j, i in each])
+    below = below.select(group, F.explode(F.array(*[
+        F.struct(F.lit(j).alias("_j"), F.lit(i).alias("i"), F.col(f"_n{j}_{i}").alias("_c")) for j, i in each])).alias("e")).select(
+        group, "e._j", "e.i", F.lit(-1).alias("_strip"), F.lit(None).cast("double").alias("_v"), "e._c")
+    strip = lambda j, i: F.coalesce(F.floor(F.try_divide(x(j) - lo(j, i), hi(j, i) - lo(j, i)) * STRIPS), F.lit(0)).cast("int")
+    inside = F.array(*[F.when((x(j) >= lo(j, i)) & (x(j) <= hi(j, i)), F.struct(
+        F.lit(j).alias("_j"), F.lit(i).alias("i"), strip(j, i).alias("_strip"), x(j).alias("_v"))) for j, i in each])
+    found = tagged.select(group, F.explode(F.array_compact(inside)).alias("e")).groupBy(
+        group, "e._j", "e.i", "e._strip", "e._v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = ranks.join(found.unionByName(below.where("_c > 0")), [group, "_j", "i"])
+    names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_j") + 1)
+    return _at_ranks(counted, [group, "_j"], last).select(group, names.alias("feature"), "n", "q")
