@@ -133,3 +133,19 @@ def test_evaluation_finds_planted_anomalies(spark):
     means = [np.mean(v) for v in per.values()]
     assert np.isclose(got["limits", "recon", "mu"], np.mean(means))
     assert np.isclose(got["limits", "recon", "threshold"], np.percentile(means, 99.5))
+
+
+def test_windows_shuffle_observations_instead_of_steps(spark):
+    """Sparse observations: rows follow observations and blocks of windows, not the 20 steps between two observations."""
+    rows = [(1, "1_0", 600 * i, i, 3, 4.0 + i, 1.0) for i in range(60)]
+    features = _features(spark, rows).withColumn("humidity", F.when(F.col("global_lsn") % 7 > 0, F.col("speed_raw")))
+    steps = 59 * 20
+    for out in (window_store.training_windows(features, *_ledgers(spark)),
+                window_store.scoring_windows(features, *_ledgers(spark), BY_TIME, 40, 20)):
+        assert 0 < sum(_rows_of_generates(out)) < steps / 4
+    at = ("start", "chunk")
+    matrix = window_store.scoring_windows(features, *_ledgers(spark), BY_TIME, 40, 20).withColumn("features", window_store.step_means(F.col("features")))
+    means = window_store.scoring_windows(features, *_ledgers(spark), BY_TIME, 40, 20, means=True)
+    a, b = matrix.orderBy(*at).collect(), means.orderBy(*at).collect()
+    assert len(a) == len(b) == 2 * 14 and [r.steps for r in a] == [r.steps for r in b] == ([60] * 13 + [1]) * 2
+    assert np.allclose([r.features for r in a], [r.features for r in b], rtol=0, atol=1e-9)
