@@ -1,8 +1,10 @@
 """Percentiles, ledgers, metrics and neighbours against numpy."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,27 @@ def test_pairwise_summary_and_effective_rank(spark):
     share = sv / (sv.sum() + 1e-8)
     expected = np.exp(-(share * np.log(share + 1e-10)).sum())
     assert neighbours.effective_rank(df).collect()[0]["effective_rank"] == pytest.approx(expected, rel=1e-6)
+
+
+def _hits_of_one_block(n, k, limit=None):
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"id": np.arange(n), "vessel": 0, "vector": list(rng.normal(size=(n, 8)))})
+    asked = rows if limit is None else rows.assign(limit=limit)
+    return neighbours._block_search(k, False, False, True)(asked, rows)
+
+
+def test_a_block_search_holds_few_distances_at_once():
+    tracemalloc.start()
+    hits = _hits_of_one_block(2_500, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hits) == 2_500 * 5
+    assert peak < 60e6  # all distances of the block are 50 MB, and several matrices of that size were held
+
+
+def test_a_block_search_returns_nothing_beyond_the_distance_reached():
+    every = _hits_of_one_block(300, 5)
+    limit = float(every["distance"].median())
+    within = _hits_of_one_block(300, 5, limit)
+    assert 0 < len(within) < len(every)
+    assert within.reset_index(drop=True).equals(every[every["distance"] <= limit].reset_index(drop=True))
