@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -157,6 +158,20 @@ def test_phrases_of_long_texts_and_full_tallies(monkeypatch):
     assert out == Counter(ids.tolist())
 
 
+def test_a_tally_of_distinct_phrases_stays_small():
+    rng, size = np.random.default_rng(1), 1 << 16
+    tally, rows = phrases._Tally(["w1", "w2", "w3"]), 0
+    tracemalloc.start()
+    for _ in range(64):
+        rows += sum(b.num_rows for b in tally.add([rng.integers(0, 1 << 63, size, np.uint64) for _ in range(3)]))
+    rows += sum(b.num_rows for b in tally.rest())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 64 * size
+    # three tasks of an executor with 3,000 MB have some 200 MB each beside the JVM and the libraries
+    assert peak < 150 << 20, peak
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     cases = [(10**15 + 7, 10**15 + 9, 10**15 + 11), (10, 10, 10), (3 * 10**12, 4 * 10**12 + 1, 5 * 10**12)]
     df = spark.createDataFrame(cases, "a bigint, l bigint, r bigint")

@@ -16,7 +16,7 @@ without counting all triples:
   falls to four times as many pairs, at last to zero.
 
 Words are numbered by a 64-bit hash seeded by language; a hash of two words fails the job
-(another ``seed`` mends it), so counts are exact.  Tasks count in numpy, a few million phrases
+(another ``seed`` mends it), so counts are exact.  Tasks count in numpy, a million phrases
 at a time, so a phrase that is everywhere costs a row a task and block.  The words and prefixes
 of interest go to the tasks as a bit table of at most 8 MB whatever their number; what it lets
 through besides is counted exactly too and does no harm but work, which beyond some 60 million
@@ -48,7 +48,9 @@ INSIDE_PERCENT = 50
 #: Pairs above the first mark, as a multiple of the limit, and how many times as many the next.
 FIRST, MORE = 2, 4
 #: Phrases that a task holds before it merges equal ones, and distinct ones that it then keeps.
-PENDING, KEEP = 3_000_000, 1_500_000
+PENDING, KEEP = 1_000_000, 500_000
+#: Words that a task remembers to have spelt.
+SPELT = 1_500_000
 BITS = 26
 OUT_ROWS = 1 << 17
 
@@ -136,7 +138,10 @@ def merged(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
     for c in columns[1:]:
         key = _mix(key * _BASE + c)
     order = np.argsort(key, kind="stable")
-    columns, counts = [c[order] for c in columns], counts[order]
+    del key
+    for i in range(len(columns)):  # in place of the unordered ones, so that they go
+        columns[i] = columns[i][order]
+    counts = counts[order]
     new = np.ones(len(counts), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     first = np.flatnonzero(new)
@@ -166,8 +171,11 @@ class _Tally:
         held, self.parts, self.size = self.parts, [], 0
         if not held:
             return [np.zeros(0, np.uint64) for _ in self.names], np.zeros(0, np.int64)
-        columns = [np.concatenate(c) for c in zip(*(p[0] for p in held), strict=True)]
-        return merged(columns, np.concatenate([p[1] for p in held]))
+        # a part's column goes as soon as it is copied
+        columns = [np.concatenate([p[0].pop(0) for p in held]) for _ in self.names]
+        counts = np.concatenate([p[1] for p in held])
+        del held
+        return merged(columns, counts)
 
     def _out(self, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(counts), OUT_ROWS):
@@ -193,7 +201,7 @@ def _word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 # a word is spelt once a task, or again after very many others
                 at = at[~np.isin(distinct, known)]
                 if len(at):
-                    known = ids[at] if len(known) > KEEP else np.concatenate([known, ids[at]])
+                    known = ids[at] if len(known) > SPELT else np.concatenate([known, ids[at]])
                     lower = _LOWER[data].tobytes()
                     spelt = pa.array([lower[s:e] for s, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), lang.take(pa.array(row[at])),
