@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -340,6 +340,37 @@ def test_long_texts_are_worked_on_in_stretches(spark, monkeypatch):
     assert all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
 
 
+def test_only_pieces_that_may_share_a_window_are_constructed(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    some = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    common = [some(rng.randint(24, 130)) for _ in range(12)]
+    texts = [b"".join(part for _ in range(6) for part in (some(rng.randint(40, 160)), rng.choice(common))) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([t.decode() for t in texts])], ["doc_id", "text"])
+    first, _ = passages._settled(passages._batch_pieces(batch, np.zeros(0, np.int64)))
+    held = [texts[d][s: s + w + 99] for d, s, w in zip(first["doc"].tolist(), first["start"].tolist(), first["windows"].tolist(), strict=True)]
+    rows = pa.RecordBatch.from_arrays([*(pa.array(first[k]) for k in ("key", "doc", "start")), pa.array(held, pa.binary())], ["key", "doc", "start", "bytes"])
+    built, whole = [], passages.column_wise
+
+    def counted(data, starts, ends, depth):
+        built.append(len(starts))
+        return whole(data, starts, ends, depth)
+
+    monkeypatch.setattr(passages, "column_wise", counted)
+    found = {(d, k) for b in passages._constructed(iter([rows])) for d, s, w in zip(*(c.to_pylist() for c in b.columns), strict=True) for k in range(s, s + w)}
+    seen, want = set(), set()
+    for d, s, piece in sorted(zip(first["doc"].tolist(), first["start"].tolist(), held, strict=True)):
+        for k in range(len(piece) - 99):
+            if piece[k: k + 100] in seen:
+                want.add((d, s + k))
+            seen.add(piece[k: k + 100])
+    assert found == want and len(want) > 200
+    pieces = Counter(first["key"].tolist())
+    shared = sum(n for n in pieces.values() if n > 1)
+    assert 0 < sum(built) < shared
+
+
 def test_column_wise_construction():
     rng = np.random.default_rng(5)
     for _ in range(20):

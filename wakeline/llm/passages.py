@@ -12,7 +12,9 @@ of smaller id, or further ahead in the same one.
   share is sent once a batch.
 * **Different pieces of one anchor** are fetched from the texts and put through the
   column-wise construction of ``column_bwt`` in blocks of whole anchors: rounds are bounded
-  by the piece length, and neighbours that share ``SPAN`` bytes are equal windows.
+  by the piece length, and neighbours that share ``SPAN`` bytes are equal windows.  Equal windows
+  agree on so much around their anchor that one of a few hashes about it must be equal too;
+  pieces without an equal one in their block have no window to find and are left out before.
 * **Hot anchors.** Around a common passage the pieces of one anchor are as many as its
   documents.  A first pass finds anchors with many different pieces in a task; their pieces
   are cut into single windows, which have their own hash as key.  There are at most
@@ -52,6 +54,8 @@ STRETCH = 1 << 20
 HOT_IN_TASK = 64
 HOT_PIECES = 2048
 MOST_HOT = 100_000
+#: Most bytes before the anchor of a window, by class; a window reaches SPAN bytes with those behind.
+BEFORE = (9, 19, 29, 39, 49, 59, 69, SPAN - KMER)
 #: Bytes of the pieces that are put through one construction.
 BLOCK_BYTES = 400_000
 
@@ -78,6 +82,19 @@ _UP = _powers(_BASE, STRETCH + 4 * SPAN)
 _DOWN = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), STRETCH + 4 * SPAN)
 
 
+def _kmers(x: np.ndarray) -> np.ndarray:
+    """Hash of each k-mer of the bytes (as random numbers ``x``)."""
+    n, h = len(x), x
+    for step in (1, 2, 4, 8):  # k-mers of 2, 4, 8 and 16 bytes
+        h, eight = h[:-step] * _UP[step] + h[step:], h
+    return _mix(h[:n - KMER + 1] * _UP[KMER - 16] + eight[16:16 + n - KMER + 1])
+
+
+def _placed(h: np.ndarray) -> np.ndarray:
+    """Numbers of which the least is the anchor's: hash in the high half, place in the low, so that ties go to the first."""
+    return (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+
+
 def pieces(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
     """Pieces of the texts in ``data``, which begin at ``bounds[:-1]``.
 
@@ -89,13 +106,8 @@ def pieces(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> dict[str, n
     if n < SPAN:
         return none
     x = _BYTE[data]
-    h, width = x, 1
-    for step in (1, 2, 4, 8):  # k-mers of 2, 4, 8 and 16 bytes
-        h, eight = h[:-step] * _UP[step] + h[step:], h
-        width += step
-    h = _mix(h[:n - KMER + 1] * _UP[KMER - 16] + eight[16:16 + n - KMER + 1])
-    # high half: hash; low half: place, so that ties go to the first
-    v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    h = _kmers(x)
+    v = _placed(h)
     for step in (1, 2, 4, 8, 16, 32):
         v = np.minimum(v[:-step], v[step:])
     v = np.minimum(v[: n - SPAN + 1], v[REACH - 64: REACH - 64 + n - SPAN + 1])
@@ -256,6 +268,34 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ["key", "doc", "start", "bytes"])
 
 
+def _meeting(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which pieces may share a window with another of the block.
+
+    A window with l bytes before its anchor has SPAN - KMER - l behind it.  So two equal ones agree
+    on the least l of their class before the anchor, and on what its greatest l leaves behind.
+    The anchor of a piece is its least k-mer, since it is that of every window.
+    """
+    x = _BYTE[data]
+    ends = np.empty(2 * len(bounds) - 2, np.int64)
+    ends[::2], ends[1::2] = bounds[:-1], bounds[1:] - KMER + 1
+    # a last k-mer is added, so that the last end is a place
+    least = np.minimum.reduceat(np.append(_placed(_kmers(x)), np.uint64(0xFFFFFFFFFFFFFFFF)), ends)[::2]
+    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    up, down = (_UP, _DOWN) if len(data) < len(_UP) else (
+        _powers(_BASE, len(data) + 1), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), len(data) + 1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:len(x)])])
+    met = np.zeros(len(anchor), bool)
+    least_before = 0
+    for most_before in BEFORE:
+        begin, end = anchor - least_before, anchor + SPAN - most_before
+        there = np.flatnonzero((begin >= bounds[:-1]) & (end <= bounds[1:]))
+        around = _mix((sums[end[there]] - sums[begin[there]]) * down[begin[there]])
+        _, which, n = np.unique(around, return_inverse=True, return_counts=True)
+        met[there[n[which] > 1]] = True
+        least_before = most_before + 1
+    return met
+
+
 def _block_copies(doc: np.ndarray, start: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
     """Windows of a block's pieces that start earlier elsewhere in the block."""
     _, at, shares = column_wise(data, bounds[:-1], bounds[1:], SPAN)
@@ -282,6 +322,8 @@ def _constructed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows_in_block = BLOCK_BYTES // (SPAN + REACH // 2)
 
     def build(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if len(table):
+            table = table.filter(pa.array(_meeting(*flat(table.column("bytes")))))
         if len(table):
             data, bounds = flat(table.column("bytes"))
             yield _block_copies(table.column("doc").to_numpy(), table.column("start").to_numpy(), data, bounds)
