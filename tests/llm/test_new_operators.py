@@ -292,3 +292,18 @@ def test_texts_just_below_the_limit_make_few_pairs(spark, monkeypatch):
     assert got == {i: find(i) for i in ids}
     # 140,000 pairs share tables; a few are met by residue, and each member once by each further centre
     assert seen["pairs"] < len(rows) and seen["met"] <= near_duplicates.FURTHER_CENTRES * seen["outside"]
+
+
+def test_only_shared_residue_shingles_are_ranked(spark):
+    rng = random.Random(8)
+    # each member lacks some of the centre's shingles and has more of its own
+    members = {a: {rng.randrange(12) for _ in range(4)} | {1000 * a + k for k in range(rng.randint(1, 30))} for a in range(1, 60)}
+    rows = [(a, b, x) for a, held in members.items() for b in (0, a % 2) for x in held]
+    rows = sorted(set(rows))
+    f = Counter((b, x) for _, b, x in rows)
+    got = near_duplicates._ranked_residues(spark.createDataFrame(rows, "a bigint, b bigint, shingle bigint")).collect()
+    assert {(r.a, r.b, r.shingle) for r in got} == {(a, b, x) for a, b, x in rows if f[b, x] > 1} and len(got) < len(rows) / 2
+    for r in got:
+        # its place among all of the member's residue, rarest first
+        every = sorted((f[b, x], x) for a, b, x in rows if (a, b) == (r.a, r.b))
+        assert len(every) - r.common + r["rank"] == every.index((f[r.b, r.shingle], r.shingle)) + 1

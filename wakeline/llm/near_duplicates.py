@@ -339,6 +339,16 @@ def _need(slack) -> Column:
     return F.greatest(F.lit(1), F.ceil(-slack / F.lit(2.0)))
 
 
+def _ranked_residues(each: DataFrame) -> DataFrame:
+    """Residue shingles that several members of a centre have: ``rank`` by rarity in the member's
+    residue, of ``common`` such ones.  There is one row of a shingle and centre to look up, so no
+    more rows come out than went in, whatever the size of a group."""
+    several = each.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    member = Window.partitionBy("a", "b")
+    return each.join(several, ["b", "shingle"]).withColumns({
+        "rank": F.row_number().over(member.orderBy("f", "shingle")), "common": F.count(F.lit(1)).over(member)}).drop("f")
+
+
 def _residue_pairs(group: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """``a, b, n, m``: members of different labels that share enough of their rarest residue."""
     # the most slack of another label that each member can meet
@@ -353,10 +363,10 @@ def _residue_pairs(group: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     several = rows.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("c")
     rows = kept(rows.join(several, "c").select("c", "node", "n", "label", "slack", "residue", "shared", "prefix"), "reach")
     each = kept(_with_sets(rows.select(F.col("node").alias("a"), F.col("c").alias("b")), sets).mapInArrow(_residues, "a bigint, b bigint, shingle bigint"), "residues")
-    common = each.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("f"))
-    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "shingle"))
-    ranked = each.join(common, ["b", "shingle"]).withColumn("place", place).withColumnsRenamed({"a": "node", "b": "c"})
-    rare = kept(ranked.join(rows, ["c", "node"]).filter("place <= prefix AND f > 1"), "rare")
+    ranked = _ranked_residues(each).withColumnsRenamed({"a": "node", "b": "c"})
+    # those that one member alone has come first in its residue
+    rare = ranked.join(rows, ["c", "node"]).withColumn("place", F.col("residue") - F.col("common") + F.col("rank"))
+    rare = kept(rare.filter("place <= prefix"), "rare")
     left = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_a") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
     right = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
     # from the first shared shingle on there must be enough left in both residues
