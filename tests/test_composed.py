@@ -67,6 +67,24 @@ def test_wide_percentiles_make_rows_of_few_values(spark):
     assert 0 < max(made) < 0.02 * 120_000
 
 
+def test_wide_percentiles_of_flags_and_rows_of_several_groups(spark):
+    """Values that many rows share are counted where they are read; a row counts in each of its groups."""
+    n = 20_000
+    df = spark.range(n, numPartitions=3).select(
+        F.when(F.col("id") % 4 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(7), F.lit(0))).alias("g"),
+        (F.col("id") % 10 == 0).cast("int").alias("flag"), F.lit(-0.0).alias("still"),
+        (F.col("id") % 3).cast("double").alias("steps"))
+    out = wide_percentiles(df, "g", ["flag", "still", "steps"], PROBS)
+    assert max(_rows_of_generates(out), default=0) < 100
+    got = {(r.g, r.feature): (r.n, list(r.q)) for r in out.collect()}
+    for g in (0, 7):
+        ids = [i for i in range(n) if g == 0 or i % 4]
+        for f, of in (("flag", lambda i: i % 10 == 0), ("still", lambda i: 0.0), ("steps", lambda i: i % 3)):
+            v = sorted(float(of(i)) for i in ids)
+            ends = [(v[math.floor(p * (len(v) - 1))], v[math.ceil(p * (len(v) - 1))]) for p in PROBS]
+            assert got[g, f][0] == len(v) and all(a <= q <= b for q, (a, b) in zip(got[g, f][1], ends, strict=True)), (g, f)
+
+
 def _features(spark, rows):
     """Positions (vessel, trip, time, number, cohort, speed, reliability); other features are 0 but the two of the course."""
     base = spark.createDataFrame(rows, "vessel_id_int bigint, trip_id string, timestamp_sec bigint, global_lsn bigint, vessel_superclass_id int, speed_raw double, reliability_score double")
