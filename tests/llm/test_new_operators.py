@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,3 +308,15 @@ def test_only_shared_residue_shingles_are_ranked(spark):
         # its place among all of the member's residue, rarest first
         every = sorted((f[b, x], x) for a, b, x in rows if (a, b) == (r.a, r.b))
         assert len(every) - r.common + r["rank"] == every.index((f[r.b, r.shingle], r.shingle)) + 1
+
+
+def test_residues_list_only_what_other_members_may_share():
+    held = lambda *x: np.sort(np.asarray(x, np.uint64)).tobytes()
+    batch = pa.RecordBatch.from_pydict({
+        "a": [5, 6], "b": [9, 9], "prefix": [5, 4], "own_a": [[10], None], "own_b": [[21, 20], [21, 20]],
+        "set_a": [held(1, 2, 3, 10, 11), held(1, 2, 3, 4)], "set_b": [held(1, 2, 3, 4, 20, 21, 22)] * 2})
+    got = pa.Table.from_batches(near_duplicates._residues(iter([batch]))).to_pylist()
+    rows = {(r["a"], r["shingle"]): (r["place"], r["late"]) for r in got}
+    # 5 differs by 10 (its own), 4, 11, 22, then 20 and 21 (the centre's own), of which the prefix reaches one
+    assert rows == {(5, 4): (4, False), (5, 11): (4, False), (5, 22): (4, False), (5, 20): (5, True),
+                    (6, 22): (1, False), (6, 20): (2, True), (6, 21): (3, True)} and len(got) == len(rows)

@@ -17,7 +17,8 @@ below 1e-6.
   that of their residues.  At likeness t it is at most (1-t)/(1+t) of both sizes together, so
   two members whose residues are small enough are linked outright (the group's best member to
   all that it reaches), and all others must share residue shingles, so many that the rarest few
-  of each residue must have one in common.  Only members of different components that share
+  of each residue must have one in common; what a member alone has, and what the centre alone has, are placed
+  first and last without being looked up.  Only members of different components that share
   one of these are paired.  No candidate is dropped, and texts that lie just below the limit
   to each other for reasons of their own meet nowhere.
 * Shingles that one class alone has bound its likeness to all others; members and pairs that
@@ -197,16 +198,21 @@ def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [pa.array(np.full(len(values), batch.column("node")[i].as_py(), np.int64)), pa.array(values)], ["node", "shingle"])
 
 
-def _shareable(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _lone(sets: DataFrame) -> DataFrame:
+    """``node, lone, own``: how many shingles of a class no other class has, and which."""
+    once = sets.mapInArrow(_each_shingle, "node bigint, shingle bigint").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return kept(once.groupBy("node").agg(F.count(F.lit(1)).alias("lone"), F.collect_list("shingle").alias("own")), "lone")
+
+
+def _shareable(buckets: DataFrame, lone: DataFrame, threshold: int) -> DataFrame:
     """Buckets with ``shared``, without members that cannot be like any other of the bucket.
 
     A shingle that one class alone has is in no intersection.  With ``shared`` others, a text
     of n shingles is like one of m at most if threshold * (n + m) <= (100 + threshold) * shared,
     so m must not be too large; the least size in the bucket tells whether any is small enough.
     """
-    lone = sets.mapInArrow(_each_shingle, "node bigint, shingle bigint").groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-    rows = buckets.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    rows = buckets.join(lone.select("node", "lone"), "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     rows = rows.join(least, "key").filter(threshold * (F.col("n") + F.col("least")) <= (100 + threshold) * F.col("shared"))
     rows = kept(rows.drop("least"), "buckets")
@@ -231,16 +237,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _residues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``a, b, shingle`` for each shingle that only one of the two sets has."""
+    """``a, b, shingle, place`` for each shingle that only one of the two sets has and another member's residue may share.
+
+    What ``a`` alone has (``own_a``) is in no other residue and comes first, unlisted.  What the centre
+    alone has (``own_b``) is in every residue and comes last: its place is known, and it is listed only
+    as far as the prefix reaches.  The others are ranked later; their place is what comes before them.
+    """
     for batch, i, both in _both(batches):
         same = both[1:] == both[:-1]
         alone = np.ones(len(both), bool)
         alone[1:] &= ~same
         alone[:-1] &= ~same
         left = both[alone].view(np.int64)
-        if len(left):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), batch.column(c)[i].as_py(), np.int64)) for c in ("a", "b")]
-                                             + [pa.array(left)], ["a", "b", "shingle"])
+        own_a, own_b = (np.asarray(batch.column(c)[i].as_py() or [], np.int64) for c in ("own_a", "own_b"))
+        last = np.sort(own_b)
+        middle = left[~np.isin(left, own_a) & ~np.isin(left, own_b)]
+        before = len(left) - len(last)
+        last = last[:max(batch.column("prefix")[i].as_py() - before, 0)]
+        found = np.concatenate([middle, last])
+        if len(found):
+            place = np.concatenate([np.full(len(middle), before), before + 1 + np.arange(len(last))])
+            late = np.repeat([False, True], [len(middle), len(last)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(c)[i].as_py(), np.int64)) for c in ("a", "b")]
+                                             + [pa.array(found), pa.array(place), pa.array(late)], ["a", "b", "shingle", "place", "late"])
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -349,7 +368,7 @@ def _ranked_residues(each: DataFrame) -> DataFrame:
         "rank": F.row_number().over(member.orderBy("f", "shingle")), "common": F.count(F.lit(1)).over(member)}).drop("f")
 
 
-def _residue_pairs(group: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _residue_pairs(group: DataFrame, sets: DataFrame, lone: DataFrame, threshold: int) -> DataFrame:
     """``a, b, n, m``: members of different labels that share enough of their rarest residue."""
     # the most slack of another label that each member can meet
     tops = group.groupBy("c", "label").agg(F.max("slack").alias("top"))
@@ -362,11 +381,17 @@ def _residue_pairs(group: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     rows = rows.withColumn("prefix", F.col("residue") - F.col("least") + 1).filter("prefix > 0 AND residue - (n - shared) >= least")
     several = rows.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("c")
     rows = kept(rows.join(several, "c").select("c", "node", "n", "label", "slack", "residue", "shared", "prefix"), "reach")
-    each = kept(_with_sets(rows.select(F.col("node").alias("a"), F.col("c").alias("b")), sets).mapInArrow(_residues, "a bigint, b bigint, shingle bigint"), "residues")
-    ranked = _ranked_residues(each).withColumnsRenamed({"a": "node", "b": "c"})
+    asked = rows.select(F.col("node").alias("a"), F.col("c").alias("b"), "prefix")
+    asked = kept(asked.join(lone.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b", "left").join(
+        lone.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a", "left"), "asked")
+    each = _with_sets(asked, sets).join(asked, ["a", "b"]).mapInArrow(
+        _residues, "a bigint, b bigint, shingle bigint, place bigint, late boolean")
+    each = kept(each, "residues").withColumnsRenamed({"a": "node", "b": "c"})
+    ranked = _ranked_residues(each.filter("NOT late").withColumnsRenamed({"node": "a", "c": "b"})).withColumnsRenamed({"a": "node", "b": "c"})
     # those that one member alone has come first in its residue
-    rare = ranked.join(rows, ["c", "node"]).withColumn("place", F.col("residue") - F.col("common") + F.col("rank"))
-    rare = kept(rare.filter("place <= prefix"), "rare")
+    ranked = ranked.withColumn("place", F.col("place") - F.col("common") + F.col("rank"))
+    placed = ranked.select("c", "node", "shingle", "place").unionByName(each.filter("late").select("c", "node", "shingle", "place"))
+    rare = kept(placed.join(rows, ["c", "node"]).filter("place <= prefix"), "rare")
     left = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_a") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
     right = rare.select("c", "shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "slack", "residue", "shared", "place")))
     # from the first shared shingle on there must be enough left in both residues
@@ -400,7 +425,8 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     found = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = found.mapInArrow(_sets, "set1 bigint, set2 bigint, n bigint, shingles binary").join(wanted.drop("least"), marks)
     sets = kept(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
-    buckets = _shareable(buckets, sets, threshold)
+    lone = _lone(sets)
+    buckets = _shareable(buckets, lone, threshold)
 
     labels = _Labels()
     # a document of several texts has the links of each
@@ -434,7 +460,7 @@ def components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     labels.merge(_links(met, sets, threshold))
 
     open_ = kept(labels.mixed(open_.drop("label"), "c"), "open")
-    pairs = kept(_residue_pairs(open_, sets, threshold), "pairs")
+    pairs = kept(_residue_pairs(open_, sets, lone, threshold), "pairs")
     labels.merge(_links(pairs, sets, threshold))
 
     named = labels.of(classes.select(*marks, "node", "least"))
