@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 import check
 from wakeline.llm import (
+    common,
     encoding,
     licenses,
     line_frequency,
@@ -317,6 +319,35 @@ def test_passages_match_brute_force(spark, limits):
     assert sum(v[1] for v in want.values()) > 5000
 
 
+def test_passages_shuffle_texts_once(spark):
+    """Fetching pieces and cutting texts read one shuffle of the documents."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for step in (passages.digests, passages.without_repeats):
+            left = step(docs(spark, some_texts()).repartition(3))
+            assert left.collect()
+            assert "ReusedExchange" in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of a finished write would stay until the driver's garbage is collected."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "/shuffle_" in f}
+    was, setting = shuffled(), spark.conf.get(common.CLEANUP, None)
+    once = common.kept(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "counts", cleanup=True)
+    twice = common.kept(once.repartition("count"), "counts", cleanup=True)
+    for _ in range(50):
+        if shuffled() <= was:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= was
+    assert once.count() == twice.count() == 1000
+    assert spark.conf.get(common.CLEANUP, None) == setting
+
+
 def test_passages_edge_cases(spark):
     text = " ".join(f"word{i}" for i in range(60))
     got = passages.digests(docs(spark, [(1, text, "a"), (1, text, "a"), (1, text + "x", "a"), (None, text, "a")])).collect()

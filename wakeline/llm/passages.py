@@ -255,9 +255,9 @@ def _second_settling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted pieces of each text."""
     for batch in batches:
-        for r in range(len(batch)):
+        for r in np.flatnonzero(batch.column("_wanted").is_valid().to_numpy(zero_copy_only=False)).tolist():
             text = batch.column("text")[r].as_buffer()
-            wanted = batch.column("wanted")[r].values
+            wanted = batch.column("_wanted")[r].values
             key, start, windows = (wanted.field(k).to_numpy(zero_copy_only=False) for k in ("key", "start", "windows"))
             doc = batch.column("doc_id")[r].as_py()
             for first in range(0, len(key), 50_000):  # bounded Arrow arrays
@@ -378,9 +378,10 @@ def repeated_windows(docs: DataFrame, hot_in_task: int = HOT_IN_TASK, hot_pieces
     least = max(hot_pieces, total // MOST_HOT)
     hot = np.asarray([r.key for r in counts.filter(F.col("n") >= least).select("key").collect()], np.int64)
     ordered = texts.mapInArrow(_first_settling(hot), _PIECE).repartition("key").sortWithinPartitions("key")
-    settled = kept(ordered.mapInArrow(_second_settling, _PIECE), "pieces")
-    wanted = settled.filter("kind = 0").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
-    fetched = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted").mapInArrow(
+    settled = kept(ordered.mapInArrow(_second_settling, _PIECE), "pieces", cleanup=True)
+    wanted = settled.filter("kind = 0").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("key", "start", "windows")).alias("_wanted"))
+    # a left join of all columns, as the one with the spans is, so that Spark shuffles the texts once for both
+    fetched = docs.join(wanted, F.col("doc_id") == F.col("_doc"), "left").mapInArrow(
         _fetched, "key bigint, doc bigint, start bigint, bytes binary")
     built = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_constructed, "doc bigint, start bigint, windows bigint")
     copies = settled.filter("kind = 1").select("doc", "start", "windows").unionByName(built)
@@ -445,7 +446,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "left"])
         yield from _left(batches, emit)
 
-    # the texts are moved once, with all columns
     out = rows.join(repeated_windows(rows), "doc_id", "left").mapInArrow(cut, T.StructType([*rows.schema.fields, T.StructField("left", T.StringType())]))
     touched = F.col("left").isNotNull()
     return unsealed(out.filter(~touched | (F.length("left") > 0)).withColumns({
