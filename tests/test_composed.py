@@ -2,16 +2,20 @@
 
 import math
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tests.helpers import plan_text
-from wakeline.operators import scorers
+from wakeline.operators import neighbours, scorers
 from wakeline.operators.quantiles import wide_percentiles
 from wakeline.operators.slices import BY_TIME
 from wakeline.plans import evaluation, window_store
+from wakeline.plans.catalog import evaluation as queries
 from wakeline.registry import FEATURES
+from wakeline.session import shared_folder
 
 PROBS = [0.25, 0.5, 0.75]
 
@@ -167,3 +171,54 @@ def test_windows_shuffle_observations_instead_of_steps(spark):
     a, b = matrix.orderBy(*at).collect(), means.orderBy(*at).collect()
     assert len(a) == len(b) == 2 * 14 and [r.steps for r in a] == [r.steps for r in b] == ([60] * 13 + [1]) * 2
     assert np.allclose([r.features for r in a], [r.features for r in b], rtol=0, atol=1e-9)
+
+
+def _tables(spark):
+    """Stored tables on disk, by purpose."""
+    folder = Path(shared_folder(spark, "any").removeprefix("file:")).parent
+    return Counter(p.name.rsplit("-", 1)[0] for p in folder.glob("*")) if folder.exists() else Counter()
+
+
+def test_scored_windows_leave_one_table(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, ("history", "calibrate", "test")[i % 3], 0, i % 7, 1, "loitering", 0.5, rng.normal(0, 1, 4).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "window_id bigint, part string, label int, vessel_id_int bigint, cohort int, mode string, severity double, vector array<double>")
+    before = _tables(spark)
+    out = evaluation.scored_windows(df, scorers.linear_scorer(np.zeros(4), np.ones(4), np.eye(4)[:, :2]))
+    assert _tables(spark) - before == {"scored-windows": 1}
+    assert out.count() == 40
+
+
+def test_neighbours_in_turns_never_store_all_hits(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, i // 2 % 2, i % 5, rng.normal(0, 1, 2).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, cohort int, vessel bigint, vector array<double>")
+    asked, corpus = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    stored, sizes, kept = neighbours.stored, [], []
+
+    def watched(frame, purpose, by=()):
+        out = stored(frame, purpose, by)
+        if purpose == "neighbours-best":
+            sizes.append(out.count())
+            kept.append(_tables(spark)["neighbours-best"] - before)
+        return out
+
+    monkeypatch.setattr(neighbours, "stored", watched)
+    before = _tables(spark)["neighbours-best"]
+    finish = lambda hits: hits.groupBy("query_id").agg(F.collect_list(F.struct("rank", "neighbour_id", "distance")).alias("h"))
+    got = {r.query_id: sorted(r.h) for r in neighbours.nearest_in_turns(asked, corpus, 4, finish, "euclidean", cell_rows=20, at_once=60).collect()}
+    assert len(sizes) >= 4 and max(sizes) < 0.6 * 200 * 4  # four turns of some fifty queries
+    assert max(kept) <= 2 and _tables(spark)["neighbours-best"] == before
+    want = {r.query_id: sorted(r.h) for r in finish(neighbours.nearest(asked, corpus, 4, "euclidean", cell_rows=20)).collect()}
+    assert got == want and len(got) == 200
+
+
+def test_labelled_windows_in_turns_are_the_same(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted((r.window_id, r.part, r.mode, r.cohort, tuple(round(x, 9) for x in r.vector)) for r in df.collect())
+    want = rows(queries._labelled(queries._store(spark, sf)))
+    before = _tables(spark)
+    out = queries._labelled_in_turns(spark, sf, at_once=400)
+    left = _tables(spark) - before
+    assert left["labelled"] == 1 and not {"features", "observations"} & set(left)
+    assert rows(out) == want and len(want) > 20
